@@ -21,6 +21,8 @@ from corpusforge.llm import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+#: The printable ASCII characters that are neither letters nor space.
+MARKS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 ROUNDS = 25
 P = "__cf_qr_"
 
@@ -77,6 +79,8 @@ def measures(text: Column) -> dict[str, Column]:
         "n_symbols": n_of(t, SYMBOLS),
         "n_calls": n_of(t, "!"),
         "n_stops": n_of(t, ".?!"),
+        "n_marks": n_of(t, MARKS),
+        "n_symbol_ends": F.regexp_count(t, F.lit(r"[#*$%&|<>](?=[\x20\x09-\x0D]|\z)")).cast("long"),
         "n_shouts": F.regexp_count(t, F.lit(r"\p{Lu}{3,}")).cast("long"),
     }
 
@@ -92,6 +96,8 @@ def rules(m: Callable[[str], Column]) -> dict[str, Column]:
     return {
         "length": vote(m("n_words") >= 50, m("n_words") < 20),
         "symbols": vote(share("n_symbols") < 0.02, share("n_symbols") > 0.1),
+        "letters": vote(m("n_marks") * 100 <= 7 * m("word_chars"), m("n_marks") * 100 > 12 * m("word_chars")),
+        "symbol_ends": vote(share("n_symbol_ends") < 0.05, share("n_symbol_ends") > 0.25),
         "lines": vote(m("n_dup_lines") * 10 <= m("n_lines"), (m("n_dup_lines") * 2 > m("n_lines")) & (m("n_dup_lines") >= 3)),
         "repeats": vote(share("n_repeat_words") < 0.15, share("n_repeat_words") > 0.5),
         "shouting": vote(share("n_shouts") < 0.05, share("n_shouts") > 0.3),
@@ -101,44 +107,61 @@ def rules(m: Callable[[str], Column]) -> dict[str, Column]:
     }
 
 
-RULES = ("length", "symbols", "lines", "repeats", "shouting", "calls", "word_length", "sentences")
+RULES = ("length", "symbols", "letters", "symbol_ends", "lines", "repeats", "shouting", "calls", "word_length", "sentences")
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, the measures as columns and the votes as an array in the order of RULES."""
     m = measures(docs[text_col])
     wide = docs.select(docs[id_col].alias("doc_id"), *[c.alias(k) for k, c in m.items()])
-    flat = wide.select("doc_id", F.col("words.n").alias("n_words"), F.col("words.r").alias("n_repeat_words"), F.col("lines.n").alias("n_lines"), F.col("lines.d").alias("n_dup_lines"), "word_chars", "n_symbols", "n_calls", "n_stops", "n_shouts")
+    flat = wide.select("doc_id", F.col("words.n").alias("n_words"), F.col("words.r").alias("n_repeat_words"), F.col("lines.n").alias("n_lines"), F.col("lines.d").alias("n_dup_lines"), "word_chars", "n_symbols", "n_calls", "n_stops", "n_shouts", "n_marks", "n_symbol_ends")
     votes = rules(F.col)
     return flat.withColumn("votes", F.array(*[votes[k].cast("int") for k in RULES]))
 
 
-def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """(share of good, accuracy of each rule) by expectation-maximisation over (votes, n) rows.
+VALUES = (1, -1, 0)
+#: Start and prior of P(vote | class): a rule seldom blames a good document, and each finds only some of the bad ones,
+#: since bad documents differ in what is wrong with them. WRONG bounds P(bad vote | good document).
+START = {"good": (0.92, 0.005, 0.075), "bad": (0.77, 0.17, 0.06)}
+WRONG = 0.01
+Model = tuple[float, dict[str, list[tuple[float, ...]]]]
 
-    Accuracies start at 0.8 and carry a Beta prior worth 2 % of the corpus, so a rule that never votes keeps its start
-    and the classes can't change places. Each round is one aggregate over the bounded table of patterns.
+
+def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> Model:
+    """(share of good, P(vote | class) of each rule) by expectation-maximisation over (votes, n) rows.
+
+    The start carries a Dirichlet prior worth 2 % of the corpus, so the classes can't change places and a rule that
+    always abstains says nothing. Each round is one aggregate over the bounded table of patterns.
     """
-    prior, acc, k = 0.8, [0.8] * len(RULES), len(RULES)
+    k = len(RULES)
+    prior, table = 0.85, {y: [START[y]] * k for y in START}
     total = patterns.agg(F.sum("n")).first()[0] or 0
     pseudo = max(1.0, 0.02 * total)
     for _ in range(rounds if total else 0):
-        good = posterior(F.col("votes"), prior, acc)
-        right = [F.sum(F.col("n") * F.when(F.get(F.col("votes"), F.lit(j)) == 1, good).when(F.get(F.col("votes"), F.lit(j)) == -1, 1 - good).otherwise(0.0)) for j in range(k)]
-        voted = [F.sum(F.col("n") * F.abs(F.get(F.col("votes"), F.lit(j)))) for j in range(k)]
-        row = patterns.agg(F.sum(F.col("n") * good), *right, *voted).first()
-        new = [min(0.98, max(0.55, (row[1 + j] + 0.8 * pseudo) / (row[1 + k + j] + pseudo))) for j in range(k)]
-        prior, moved = min(0.98, max(0.02, row[0] / total)), max(abs(a - b) for a, b in zip(acc, new, strict=True))
-        acc = new
-        if moved < 1e-4:
+        good = posterior(F.col("votes"), (prior, table))
+        sums = [F.sum(F.col("n") * F.when(F.get(F.col("votes"), F.lit(j)) == v, part).otherwise(0.0)) for part in (good, 1 - good) for j in range(k) for v in VALUES]
+        row = list(patterns.agg(F.sum(F.col("n") * good), *sums).first())
+        prior, moved = min(0.99, max(0.5, row[0] / total)), 0.0
+        for y, at in (("good", 1), ("bad", 1 + 3 * k)):
+            for j in range(k):
+                mass = [row[at + 3 * j + i] + pseudo * START[y][i] for i in range(3)]
+                new = tuple(x / sum(mass) for x in mass)
+                if y == "good" and new[1] > WRONG:
+                    new = tuple(WRONG if i == 1 else x * (1 - WRONG) / (new[0] + new[2]) for i, x in enumerate(new))
+                moved = max(moved, *(abs(x - z) for x, z in zip(new, table[y][j], strict=True)))
+                table[y] = [*table[y][:j], new, *table[y][j + 1 :]]
+        if moved < 1e-3:
             break
-    return prior, acc
+    return prior, table
 
 
-def posterior(votes: Column, prior: float, acc: list[float]) -> Column:
+def posterior(votes: Column, model: Model) -> Column:
+    prior, table = model
     odds = F.lit(math.log(prior / (1 - prior)))
-    for j, a in enumerate(acc):
-        odds = odds + F.get(votes, F.lit(j)) * F.lit(math.log(a / (1 - a)))
+    for j in range(len(RULES)):
+        v = F.get(votes, F.lit(j))
+        for i, value in enumerate(VALUES):
+            odds = odds + F.when(v == value, F.lit(math.log(table["good"][j][i] / table["bad"][j][i]))).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -146,11 +169,11 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document: the measures, base_failed, quality (posterior probability of good) and kept."""
     facts = scratch.cut(measured(docs, id_col, text_col), "rules-facts")
     patterns = scratch.cut(facts.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "rules-patterns")
-    prior, acc = estimate(patterns)
+    model = estimate(patterns)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         facts.withColumn("base_failed", failed)
-        .withColumn("quality", posterior(F.col("votes"), prior, acc))
+        .withColumn("quality", posterior(F.col("votes"), model))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
     )
 
