@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusforge.llm.language_id import op6_language_id
 from corpusforge.llm.mixing import op3_mixing
+from corpusforge.llm.neardup import op1_minhash
 from corpusforge.llm.quality_classifier import op8_quality_classifier
 from corpusforge.llm.quality_rules import op9_quality_rules
 from corpusforge.llm.substrings import op5_substring_dedup
@@ -15,7 +16,7 @@ from corpusforge.llm.suffixes import op4_suffix_array
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_suffix_array, op5_substring_dedup, op6_language_id, op8_quality_classifier, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op3_mixing, op4_suffix_array, op5_substring_dedup, op6_language_id, op8_quality_classifier, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
