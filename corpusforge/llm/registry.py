@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusforge.llm.decontamination import op10_decontamination
 from corpusforge.llm.language_id import op6_language_id
 from corpusforge.llm.mixing import op3_mixing
 from corpusforge.llm.neardup import op1_minhash
@@ -16,7 +17,7 @@ from corpusforge.llm.suffixes import op4_suffix_array
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_mixing, op4_suffix_array, op5_substring_dedup, op6_language_id, op8_quality_classifier, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op3_mixing, op4_suffix_array, op5_substring_dedup, op6_language_id, op8_quality_classifier, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
