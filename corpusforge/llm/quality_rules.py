@@ -124,44 +124,72 @@ VALUES = (1, -1, 0)
 #: since bad documents differ in what is wrong with them. WRONG bounds P(bad vote | good document).
 START = {"good": (0.92, 0.005, 0.075), "bad": (0.77, 0.17, 0.06)}
 WRONG = 0.01
-Model = tuple[float, dict[str, list[tuple[float, ...]]]]
+Model = tuple[float, list[list[float]], list[list[float]]]
+
+
+def _posterior(place: Column, prior: Column, good: Column, bad: Column) -> Column:
+    """Probability of good; place has for each rule where its vote stands in VALUES."""
+    rule = F.sequence(F.lit(0), F.lit(len(RULES) - 1))
+    at = lambda table, j: F.get(F.get(table, j), F.get(place, j))
+    odds = F.aggregate(rule, F.log(prior / (1 - prior)), lambda s, j: s + F.log(at(good, j) / at(bad, j)))
+    return 1 / (1 + F.exp(-odds))
+
+
+def _table(weighted: Column, part: str, pseudo: Column) -> Column:
+    """P(vote | class) of each rule from patterns with the class's share of their counts, START as its prior."""
+
+    def row(j: Column) -> Column:
+        return let(F.array(*[mass(j, i) for i in range(3)]), shares)
+
+    def mass(j: Column, i: int) -> Column:
+        return F.aggregate(weighted, pseudo * F.lit(START[part][i]), lambda s, x: s + F.when(F.get(x["place"], j) == i, x[part]).otherwise(0.0))
+
+    def shares(m: Column) -> Column:
+        total = F.get(m, F.lit(0)) + F.get(m, F.lit(1)) + F.get(m, F.lit(2))
+        return let(F.transform(m, lambda x: x / total), bounded if part == "good" else lambda p: p)
+
+    def bounded(p: Column) -> Column:
+        wrong = F.get(p, F.lit(1))
+        return F.when(wrong <= WRONG, p).otherwise(F.transform(p, lambda x, i: F.when(i == 1, F.lit(WRONG)).otherwise(x * (1 - WRONG) / (1 - wrong))))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), row)
 
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> Model:
-    """(share of good, P(vote | class) of each rule) by expectation-maximisation over (votes, n) rows.
+    """(share of good, P(vote | good), P(vote | bad) of each rule) by expectation-maximisation over (votes, n) rows.
 
     The start carries a Dirichlet prior worth 2 % of the corpus, so the classes can't change places and a rule that
-    always abstains says nothing. Each round is one aggregate over the bounded table of patterns.
+    always abstains says nothing. All rounds fold over the bounded array of patterns in one expression.
     """
-    k = len(RULES)
-    prior, table = 0.85, {y: [START[y]] * k for y in START}
-    total = patterns.agg(F.sum("n")).first()[0] or 0
-    pseudo = max(1.0, 0.02 * total)
-    for _ in range(rounds if total else 0):
-        good = posterior(F.col("votes"), (prior, table))
-        sums = [F.sum(F.col("n") * F.when(F.get(F.col("votes"), F.lit(j)) == v, part).otherwise(0.0)) for part in (good, 1 - good) for j in range(k) for v in VALUES]
-        row = list(patterns.agg(F.sum(F.col("n") * good), *sums).first())
-        prior, moved = min(0.99, max(0.5, row[0] / total)), 0.0
-        for y, at in (("good", 1), ("bad", 1 + 3 * k)):
-            for j in range(k):
-                mass = [row[at + 3 * j + i] + pseudo * START[y][i] for i in range(3)]
-                new = tuple(x / sum(mass) for x in mass)
-                if y == "good" and new[1] > WRONG:
-                    new = tuple(WRONG if i == 1 else x * (1 - WRONG) / (new[0] + new[2]) for i, x in enumerate(new))
-                moved = max(moved, *(abs(x - z) for x, z in zip(new, table[y][j], strict=True)))
-                table[y] = [*table[y][:j], new, *table[y][j + 1 :]]
-        if moved < 1e-3:
-            break
-    return prior, table
+    place = F.transform("votes", lambda v: F.when(v == 1, 0).when(v == -1, 1).otherwise(2))
+    row = patterns.agg(F.collect_list(F.struct(place.alias("place"), F.col("n").cast("double").alias("n"))).alias("seen"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("total"))
+    start = [F.array(*[F.array(*[F.lit(x) for x in START[y]]) for _ in RULES]) for y in ("good", "bad")]
+    total = F.greatest(F.col("total"), F.lit(1.0))
+    pseudo = F.greatest(F.lit(1.0), F.lit(0.02) * total)
+
+    def step(state: Column, _: Column) -> Column:
+        def weigh(x: Column) -> Column:
+            return let(_posterior(x["place"], state["prior"], state["good"], state["bad"]), lambda p: F.struct(x["place"].alias("place"), (x["n"] * p).alias("good"), (x["n"] * (1 - p)).alias("bad")))
+
+        def maximise(w: Column) -> Column:
+            prior = F.aggregate(w, F.lit(0.0), lambda s, x: s + x["good"]) / total
+            return F.struct(F.least(F.lit(0.99), F.greatest(F.lit(0.5), prior)).alias("prior"), _table(w, "good", pseudo).alias("good"), _table(w, "bad", pseudo).alias("bad"))
+
+        return let(F.transform("seen", weigh), maximise)
+
+    first = F.struct(F.lit(0.85).alias("prior"), start[0].alias("good"), start[1].alias("bad"))
+    model = F.when(F.size("seen") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step)).otherwise(first)
+    got = row.select(model.alias("m")).first()["m"]
+    return got["prior"], got["good"], got["bad"]
 
 
 def posterior(votes: Column, model: Model) -> Column:
-    prior, table = model
+    prior, good, bad = model
     odds = F.lit(math.log(prior / (1 - prior)))
     for j in range(len(RULES)):
         v = F.get(votes, F.lit(j))
         for i, value in enumerate(VALUES):
-            odds = odds + F.when(v == value, F.lit(math.log(table["good"][j][i] / table["bad"][j][i]))).otherwise(0.0)
+            odds = odds + F.when(v == value, F.lit(math.log(good[j][i] / bad[j][i]))).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
