@@ -1 +1,6 @@
+"""Queries over the tables, built from the operators."""
 
+from corpusforge.plans import packing  # noqa: F401
+from corpusforge.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
