@@ -38,7 +38,8 @@ class Chunks:
         bare = end - (data[end - 1] == 10) if len(end) else end
         rolls = [bs.Rolling(table[data]) for table in bs.BYTE_VALUES]
         line = rolls[0].of(start, bare)
-        before = np.concatenate((line[:1] * bs.U64(0), line[:-1]))
+        same = np.concatenate((row[:1] != row[:1], row[1:] == row[:-1]))
+        before = np.where(same, np.concatenate((line[:1], line[:-1])), bs.U64(0))
         ends = (bs.mix(line + bs.U64(3) * before, 8) & bs.U64(MEAN_LINES - 1)) == 0
         last = np.concatenate((row[1:] != row[:-1], row[:1] == row[:1]))
         stop = np.flatnonzero(ends | last)

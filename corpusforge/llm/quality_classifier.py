@@ -157,7 +157,7 @@ def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[float,
 
 def _fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression with soft labels by gradient descent with momentum, both classes weighing alike."""
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    row = np.repeat(np.arange(len(rows)), np.array([len(r[0]) for r in rows], int))
     dim = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, int)
     val = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
     w, b = np.zeros(DIMS), 0.0
