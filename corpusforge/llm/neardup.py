@@ -6,9 +6,10 @@ table that they share, so the others drop out before pairs are formed. Two docum
 they share fewer than two collections: at 0.75, 3 pairs in 10,000; at 0.85, less than 1 in 10 million.
 
 Equal sets of shingles are one node. In each table key the document that shares most with others leads; the members'
-links to their leader are confirmed on full sets, components of confirmed links follow, and members that remain apart
-from their leader's component are compared with all members of other components of the key. So no link of a key is lost
-that would join two components, and a group of copies costs links in proportion to its size.
+links to their leader are confirmed on full sets and components of confirmed links follow. Members that remain apart
+from their leader's component are compared with those members of other components that can be linked with them at all
+(strays). So no link of a key is lost that would join two components, and a group of copies costs links in proportion
+to its size.
 
 Shingles, sets and collections compare by 64-bit hashes (sets by 128 bits). Defined results: null and empty texts have
 no shingles and link with nothing; fewer words than a shingle make one shingle; rows with a null id link with nothing;
@@ -17,6 +18,7 @@ rows of one id are taken to hold one text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,23 +92,87 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
     return text.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(read, "id long, shingles binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 x intersection >= percent x union."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, same: the sizes of the pairs' full sets and of their intersection."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+            out = np.zeros((3, batch.num_rows), np.int64)
+            for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
                 both = np.concatenate((x, y))
                 both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(100 * same >= percent * (len(both) - same))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+                out[:, i] = len(x), len(y), (both[1:] == both[:-1]).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], ["a", "b", "na", "nb", "same"])
+
+    return _with_sets(pairs, sets).mapInArrow(count, "a long, b long, na long, nb long, same long")
 
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def linked(percent: int) -> F.Column:
+    return 100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))
+
+
+def outsiders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, s: shingles of a that its leader b lacks, as many of the least as a link without more of b's needs.
+
+    A partner of a shares percent / 100 of a's shingles at least, of which b accounts for `same` at most; the rest, t,
+    lies outside b, so two partners share one of the |outside| - t + 1 least of each.
+    """
+
+    def list_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, n = [np.zeros(0, np.uint64)], []
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+                out = np.setdiff1d(x, y, assume_unique=True)
+                need = -(-percent * len(x) // 100) - (len(x) - len(out))
+                parts.append(out[: len(out) - max(need, 1) + 1])
+                n.append(len(parts[-1]))
+            index = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(parts).view(np.int64))], ["a", "b", "s"])
+
+    return _with_sets(pairs, sets).mapInArrow(list_them, "a long, b long, s long")
+
+
+def strays(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that may still be linked across components: members of one leader, one of them apart from it.
+
+    For y apart from its leader L and another member x of L: what they share within L is min(|x & L|, |y & L|) at most.
+    Either that suffices for a link, which bounds |x| to sizes that few members have (bands of sizes meet), or x and y
+    share shingles outside L (the least of these meet). Pairs that do neither can't be linked, so a group of copies
+    isn't compared with all that stray near it.
+    """
+    label = labels.select(F.col("node").alias("a"), F.col("label").alias("own"))
+    lead = labels.select(F.col("node").alias("b"), F.col("label").alias("lead_own"))
+    placed = stars.join(label, "a", "left").join(lead, "b", "left").select("a", "b", "na", "same", F.coalesce("own", "a").alias("own"), F.coalesce("lead_own", "b").alias("lead_own"))
+    marked = scratch.cut(placed.withColumn("apart", F.col("own") != F.col("lead_own")), "neardup-placed")
+    heads = marked.groupBy("b").agg(F.count_if("apart").alias("k"), F.count(F.lit(1)).alias("all")).where("k > 0 AND all > 1").select("b")
+    near = scratch.cut(marked.join(heads, "b", "left_semi"), "neardup-near")
+    p = F.lit(float(percent))
+    most = F.floor((100 + p) / p * F.col("same") - F.col("na") + 1e-9)  # the largest partner that sharing `same` can link
+    band = lambda n: F.floor(F.log(n) / math.log(1.03)).cast("int")
+    y = near.where("apart").select("b", F.col("a").alias("y"), F.col("na").alias("yn"), F.col("same").alias("ys"), F.col("own").alias("yo"), most.alias("ymost"))
+    x = near.select("b", F.col("a").alias("x"), F.col("na").alias("xn"), F.col("same").alias("xs"), F.col("own").alias("xo"), F.col("apart").alias("xa"), most.alias("xmost"), band(F.col("na")).alias("band"))
+    least = F.ceil(p / 100 * F.col("yn"))
+    by_size = (
+        y.where(F.col("ymost") >= least).withColumn("band", F.explode(F.sequence(band(least), band(F.col("ymost"))))).join(x, ["b", "band"])
+        .where((F.col("yo") != F.col("xo")) & F.col("xn").between(least, F.col("ymost")) & (F.col("yn") <= F.col("xmost")))
+    )
+    outside = scratch.cut(outsiders(near.select("a", "b"), sets, percent), "neardup-outside")
+    ys = outside.join(y.select("b", F.col("y").alias("a")), ["b", "a"], "left_semi").select("b", "s", F.col("a").alias("y"))
+    wanted = ys.select("b", "s").distinct()
+    xs = outside.join(wanted, ["b", "s"], "left_semi").select("b", "s", F.col("a").alias("x"))
+    by_shingle = xs.join(ys, ["b", "s"]).where("x <> y").select("x", "y").distinct()
+    owns = marked.select(F.col("a").alias("x"), F.col("own").alias("xo")).distinct(), marked.select(F.col("a").alias("y"), F.col("own").alias("yo")).distinct()
+    across = by_shingle.join(owns[0], "x").join(owns[1], "y").where("xo <> yo")
+    both = by_size.select("x", "y").union(across.select("x", "y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,35 +198,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     node = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep"))
     members = scratch.cut(signed.join(first, same, "left").select("doc_id", "n", node.alias("rep"), F.when(F.col("doc_id") == node, F.col("keys")).alias("keys")), "neardup-members")
 
-    single = members.where("keys is not null").select("rep", "n", F.explode("keys").alias("key"))
+    single = members.where("keys is not null").select("rep", F.explode("keys").alias("key"))
     shared = single.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    ranked = single.join(shared, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_set("key")).alias("ks"), F.sum("size").alias("score"))
+    ranked = single.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("ks"), F.sum("size").alias("score"))
     nodes = scratch.cut(ranked.where(F.size("ks") > 1), "neardup-nodes")
     table = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, COLLECTIONS), lambda y: F.xxhash64(x, y))))
-    keyed = nodes.select("rep", "n", "score", F.explode(table).alias("pk"))
-    lead = keyed.groupBy("pk").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"), "n")).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    inside = keyed.select("pk", "rep", "n").join(lead.select("pk", (-F.col("top.rep")).alias("leader"), F.col("top.n").alias("leader_n")), "pk")
-
-    def possible(n: str, m: str) -> F.Column:
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    keyed = nodes.select("rep", "score", F.explode(table).alias("pk"))
+    lead = keyed.groupBy("pk").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    inside = keyed.select("pk", "rep").join(lead.select("pk", (-F.col("top.rep")).alias("leader")), "pk")
 
-    stars = scratch.cut(inside.where((F.col("rep") != F.col("leader")) & possible("n", "leader_n")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "neardup-stars")
-    # Sets of all that may be compared: a member of a key of three or more can meet others than its leader.
-    ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).union(inside.join(lead.where("size > 2").select("pk"), "pk", "left_semi").select("rep")).distinct()
+    stars = scratch.cut(inside.where(F.col("rep") != F.col("leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "neardup-stars")
+    ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     sets = scratch.cut(full_sets(docs, ids, id_col, text_col), "neardup-sets")
     scratch.free_shuffles(docs.sparkSession)
-    links = scratch.cut(confirm(stars, sets, percent), "neardup-links")
+    stars = scratch.cut(overlaps(stars, sets), "neardup-overlaps")
+    links = stars.where(linked(percent)).select("a", "b")
     labels = components(links)
-
-    label = labels.select(F.col("node").alias("rep"), F.col("label").alias("own"))
-    leads = labels.select(F.col("node").alias("leader"), F.col("label").alias("lead_own"))
-    placed = inside.join(label, "rep", "left").join(leads, "leader", "left").select("pk", "rep", "n", "leader", F.coalesce("own", "rep").alias("own"), F.coalesce("lead_own", "leader").alias("lead_own"))
-    apart = placed.where("own <> lead_own").select("pk", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("own").alias("aw"))
-    others = placed.where("rep <> leader").select("pk", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("own").alias("bw"), (F.col("own") != F.col("lead_own")).alias("apart"))
-    meet = apart.join(others, "pk").where((F.col("aw") != F.col("bw")) & (~F.col("apart") | (F.col("a") < F.col("b"))) & possible("an", "bn"))
-    rest = scratch.cut(meet.select("a", "b").distinct(), "neardup-rest")
+    rest = scratch.cut(strays(stars, labels, sets, percent), "neardup-rest")
     if not rest.isEmpty():
-        more = scratch.cut(confirm(rest, sets, percent), "neardup-more")
+        more = scratch.cut(overlaps(rest, sets).where(linked(percent)).select("a", "b"), "neardup-more")
         if not more.isEmpty():
             labels = components(links.union(more))
     out = members.select("doc_id", "n", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
