@@ -86,6 +86,20 @@ def pack(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYT
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(fill, UNIT_SCHEMA)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: equal high bytes lie together, and the shuffle's compression drops them."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(body: bytes | pa.Buffer, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def gaps(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers as the first and the distances to the next: fewer bytes for the many hashes of a bucket."""
+    return np.concatenate((x[:1], x[1:] - x[:-1]))
+
+
 def bucket_bits(items: float) -> int:
     return max(6, math.ceil(math.log2(max(1.0, items / BUCKET_ITEMS))))
 
@@ -112,14 +126,14 @@ def exchange(units: DataFrame, emit: Emit, items: float, extra: str | None = Non
                 slot = (kinds >> bs.U64(64 - bits)).astype(np.int64)
                 edge = np.flatnonzero(np.concatenate((slot[:1] == slot[:1], slot[1:] != slot[:-1])))
                 stop = np.append(edge[1:], len(slot))
-                cut = lambda x, a=edge, b=stop: pa.array([x[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary())
+                cut = lambda x, f, a=edge, b=stop: pa.array([planes(f(x[i:j])) for i, j in zip(a, b, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot[edge], pa.int32()), pa.array(np.full(len(edge), number), pa.int64()), cut(kinds), cut(least) if least is not None else pa.nulls(len(edge), pa.binary())],
+                    [pa.array(slot[edge], pa.int32()), pa.array(np.full(len(edge), number), pa.int64()), cut(kinds, gaps), cut(least, lambda x: x) if least is not None else pa.nulls(len(edge), pa.binary())],
                     ["bucket", "unit", "hashes", "keys"],
                 )
 
     def answer(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]]
+        lists = [np.cumsum(from_planes(x.as_buffer(), np.uint64)) for x in table["hashes"]]
         size = np.array([len(x) for x in lists])
         h = np.concatenate(lists)
         flag = np.zeros(len(h), bool)
@@ -129,7 +143,7 @@ def exchange(units: DataFrame, emit: Emit, items: float, extra: str | None = Non
             flag[order[1:][same]] = True
             flag[order[:-1][same]] = True
         else:
-            key = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["keys"]])
+            key = np.concatenate([from_planes(x.as_buffer(), np.int64) for x in table["keys"]])
             order = np.lexsort((np.repeat(table["unit"].to_numpy(), size), key, h))
             flag[order[1:][h[order][1:] == h[order][:-1]]] = True
         stop = np.cumsum(size)
