@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm import bytescan as bs
 
-DIMS, RANK = 1 << 12, 48
+DIMS, RANK = 1 << 12, 32
+SLICE = 256 << 10  # bytes looked at together: the arrays of a slice fit a cache
 BLOCK, BLOCKS = 12, 3  # words in a block, blocks in a passage
 COSINE = 0.42
+RARE, TELLING, MOST = 1.0, 0.6, 14  # a passage holds that share of an item's words of weight RARE or more, of MOST at most
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.65, 0.6  # shares of words in the common subsequence
 MIN_ITEM = 8
 ITEM_BLOCK = 512
@@ -66,8 +68,8 @@ class Tokens:
     def spread_back(self, value: np.ndarray) -> np.ndarray:
         """For each dimension the sum of value over the passages that its words lie in (words count by occurrence)."""
         step = np.zeros((len(self.block_at) + 1, value.shape[1]))
-        np.add.at(step, self.passage, value)
-        np.subtract.at(step, self.passage_end, value)
+        step[self.passage] += value  # starts and ends are distinct
+        step[self.passage_end] -= value
         by_block = np.cumsum(step, axis=0)[:-1].astype(np.float32)
         block = np.searchsorted(self.block_at, np.arange(len(self.words)), "right") - 1
         order = np.argsort(self.dim.astype(np.int16), kind="stable")
@@ -97,7 +99,7 @@ def latent_basis(text: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIMS + 1)
         for batch in batches:
-            for a, b, data, offsets in bs.slices(batch.column(0)):
+            for a, b, data, offsets in bs.slices(batch.column(0), SLICE):
                 t = Tokens(data, offsets)
                 row = np.repeat(np.arange(b - a), np.diff(t.before))
                 for lo in range(0, b - a, 1024):
@@ -117,7 +119,7 @@ def latent_basis(text: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((DIMS, RANK))
         for batch in batches:
-            for _, _, data, offsets in bs.slices(batch.column(0), bs.SLICE // 2):
+            for _, _, data, offsets in bs.slices(batch.column(0), SLICE):
                 t = Tokens(data, offsets)
                 if len(t.words):
                     norm = np.maximum(t.passages(square), 1e-9)
@@ -125,10 +127,26 @@ def latent_basis(text: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield _cells((total * idf[:, None]).ravel())
 
     product = _summed(text.mapInArrow(sketch, "cell int, value double"), DIMS * RANK).reshape(DIMS, RANK)
-    u, s, _ = np.linalg.svd(product, full_matrices=False)
-    s = np.sqrt(np.maximum(s, 1e-12))  # the sketch holds squared singular values
-    basis = idf[:, None] * u / np.maximum(s, 1e-3 * max(float(s.max(initial=0.0)), 1e-12))[None, :]
-    return idf, basis.astype(np.float32)
+    return idf, (idf[:, None] * whitened(product, probe)).astype(np.float32)
+
+
+def whitened(product: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """Leading eigenvectors of A'A over their singular values, from the one-pass sketch product = A'A @ probe.
+
+    The sketch of a positive matrix gives its Nystrom form product (probe' product)^-1 product'; a small shift keeps the
+    core invertible. Directions that the sketch holds no mass in are left at zero.
+    """
+    probe = probe.astype(np.float64)
+    shift = 1e-9 * max(float(np.linalg.norm(product)), 1e-9)
+    core = probe.T @ (product + shift * probe)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    safe = values > 1e-10 * max(float(values.max(initial=0.0)), 1e-300)
+    half = (product + shift * probe) @ (vectors[:, safe] / np.sqrt(values[safe]))
+    u, s, _ = np.linalg.svd(half, full_matrices=False)
+    out = np.zeros((product.shape[0], probe.shape[1]))
+    used = s > 1e-4 * max(float(s.max(initial=0.0)), 1e-12)
+    out[:, : used.sum()] = u[:, used] / s[used]
+    return out
 
 
 def _lcs(item: list[int], masks: dict[int, int], text: list[int]) -> int:
@@ -169,6 +187,20 @@ class Items:
         self.tails = [w[-max(3, len(w) // 3) :] for w in self.words]
         self.tail_masks = [_masks(w) for w in self.tails]
 
+    def _telling(self, t: Tokens, number: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Passages x items: how often the passage has a rare word of the item."""
+        item, word = np.nonzero(held & (self.weight >= RARE))
+        order = np.argsort(word, kind="stable")
+        item, first = item[order], np.searchsorted(word[order], np.arange(len(self.vocabulary) + 2))
+        n = np.diff(first)
+        some = np.flatnonzero(n[number])
+        each = n[number[some]]
+        block = np.searchsorted(t.block_at, some, "right") - 1
+        cell = np.repeat(block, each) * len(held) + item[bs.spread(first[number[some]], each)]
+        by_block = np.bincount(cell, minlength=len(t.block_at) * len(held)).reshape(len(t.block_at), len(held)).astype(np.int32)
+        sums = np.concatenate((np.zeros_like(by_block[:1]), np.cumsum(by_block, axis=0, dtype=np.int32)))
+        return sums[t.passage_end] - sums[t.passage]
+
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float]]:
         """(row, item, share of the item's words in the common subsequence) for each confirmed pair."""
         t = Tokens(data, offsets)
@@ -189,10 +221,13 @@ class Items:
             held = np.zeros((len(some), len(self.vocabulary) + 1), bool)
             for j in some:
                 held[j - lo, self.words[j]] = True
+            telling = self._telling(t, number, held)
+            enough = np.maximum(2, np.ceil(TELLING * np.minimum((held & (self.weight >= RARE)).sum(1), MOST)))
             reach = int(size.max())
             padded = np.concatenate((np.full(reach, len(self.vocabulary)), number, np.full(reach + BLOCK * BLOCKS, len(self.vocabulary))))
             for p0 in range(0, len(latent), 8192):
-                passage, item = np.nonzero(latent[p0 : p0 + 8192] @ self.vectors[lo : some.stop].T >= COSINE)
+                near = latent[p0 : p0 + 8192] @ self.vectors[lo : some.stop].T >= COSINE
+                passage, item = np.nonzero(near & (telling[p0 : p0 + 8192] >= enough))
                 passage += p0
                 # The words of the item that the passage and its surroundings hold, by weight, before any subsequence.
                 for c0 in range(0, len(passage), 20000):
@@ -233,7 +268,7 @@ def _passes(benchmark: DataFrame, item_col: str, text_col: str, idf: np.ndarray,
 def _hits(items: Items, column: pa.Array) -> tuple[np.ndarray, list, np.ndarray]:
     """Number of items, best item and best share by row of the batch."""
     n, item, share = np.zeros(len(column), np.int64), [None] * len(column), np.zeros(len(column))
-    for a, _, data, offsets in bs.slices(column):
+    for a, _, data, offsets in bs.slices(column, SLICE):
         for row, g, value in items.matches(data, offsets):
             r = a + row
             n[r] += 1
