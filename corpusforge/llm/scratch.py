@@ -1,55 +1,5 @@
 """Intermediate tables in the folder that the whole cluster shares."""
 
-from __future__ import annotations
+from corpusforge.sources.scratch import cut, drop, free_shuffles, shared_dir
 
-import gc
-import tempfile
-import time
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = at.get() if at.isDefined() else None
-    if not at:
-        at = tempfile.mkdtemp(prefix="corpusforge-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back, which ends its lineage.
-
-    A written table survives a lost executor and is columnar, so later steps read only the columns they use.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._corpusforge_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by cut() that nothing reads any more, and let Spark free the shuffles behind them."""
-    for df in tables:
-        path = getattr(df, "_corpusforge_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if tables:
-        free_shuffles(tables[0].sparkSession)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go once the driver's garbage collector has seen that their plans are gone; the cleaner needs a moment."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+__all__ = ["cut", "drop", "free_shuffles", "shared_dir"]
