@@ -94,22 +94,23 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, ks): for each document the numbers of its chunks that equal an earlier one."""
     text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = scratch.cut(chunk_rows(text), "chunks")
+    # What joins text grows with the corpus, so it is never broadcast, even where a small one would fit.
     place = F.struct("doc_id", "k")
     firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     shared = scratch.cut(rows.join(firsts, ["h1", "h2"]).distinct(), "chunks-shared")
     wanted = shared.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
-    bodies = scratch.cut(chunk_bytes(text.join(wanted, "doc_id").select("doc_id", "text", "ks")).distinct(), "chunks-bytes")
+    bodies = scratch.cut(chunk_bytes(text.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "ks")).distinct(), "chunks-bytes")
     scratch.free_shuffles(docs.sparkSession)
-    own = shared.where(F.struct("doc_id", "k") != F.col("first")).join(bodies, ["doc_id", "k"])
-    lead = shared.where(F.struct("doc_id", "k") == F.col("first")).join(bodies, ["doc_id", "k"]).select("h1", "h2", F.col("body").alias("first_body"))
-    equal = own.join(lead, ["h1", "h2"]).where("body = first_body")
+    own = shared.where(F.struct("doc_id", "k") != F.col("first")).join(bodies.hint("merge"), ["doc_id", "k"])
+    lead = shared.where(F.struct("doc_id", "k") == F.col("first")).join(bodies.hint("merge"), ["doc_id", "k"]).select("h1", "h2", F.col("body").alias("first_body"))
+    equal = own.join(lead.hint("merge"), ["h1", "h2"]).where("body = first_body")
     return scratch.cut(equal.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("k").alias("ks")), "chunks-equal")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """docs with repeated chunks taken out of their text; report adds chunks_removed."""
     gone = repeated_chunks(docs, id_col, text_col).select(F.col("id").alias(P + "id"), F.col("ks").alias(P + "ks"))
-    joined = docs.join(gone, docs[id_col].cast("long") == gone[P + "id"], "left").drop(P + "id")
+    joined = docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone[P + "id"], "left").drop(P + "id")
     names = joined.columns
     at, ks_at = names.index(text_col), names.index(P + "ks")
 

@@ -89,7 +89,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], sets], ["id", "shingles"])
 
     text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return text.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(read, "id long, shingles binary")
+    return text.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(read, "id long, shingles binary")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -111,7 +111,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    # Both sides grow with the corpus: neither is broadcast, even where a small one would fit.
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
 
 
 def linked(percent: int) -> F.Column:

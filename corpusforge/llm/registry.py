@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusforge.llm import sql
 from corpusforge.llm.decontamination import op10_decontamination
 from corpusforge.llm.language_id import op6_language_id
 from corpusforge.llm.licenses import op2_license_scan
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
