@@ -38,8 +38,8 @@ def mask_counts(n: Column, mask_len: Column, block: int) -> tuple[Column, Column
 
 def batches(df: DataFrame, size: int, seed: str) -> DataFrame:
     """Adds batch, place and width (the longest of the batch) in hash order."""
-    rn = F.row_number().over(W.orderBy(stats.hash_order(seed, F.concat_ws("-", "conv_id", "turn")), "conv_id", "turn")) - 1
-    placed = df.withColumn("batch", F.floor(rn / size)).withColumn("place", F.pmod(rn, F.lit(size)).cast("int"))
+    ranked = stats.hash_rank(df, F.concat_ws("-", "conv_id", "turn"), seed, "conv_id", "turn", out="rn")
+    placed = ranked.withColumn("batch", F.floor(F.col("rn") / size)).withColumn("place", F.pmod("rn", F.lit(size)).cast("int")).drop("rn")
     return placed.withColumn("width", F.max("n_tokens").over(W.partitionBy("batch")))
 
 

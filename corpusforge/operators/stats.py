@@ -51,6 +51,18 @@ def stratified(df: DataFrame, stratum: str, key: str, k: int, seed: str) -> Data
     return df.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
+def hash_rank(df: DataFrame, key: Column, seed: str, *ties: str, out: str = "rank", digits: int = 4) -> DataFrame:
+    """Adds the row's place from 0 in hash order: a histogram of the leading digits, and the place within a bucket.
+
+    No task orders the whole table: buckets are 16^digits, and only their counts meet in one.
+    """
+    h = df.withColumn("_h", hash_order(seed, key)).withColumn("_b", F.substring("_h", 1, digits))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).select("_b", before.alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_b").orderBy("_h", *ties)) - 1
+    return h.join(sums, "_b").withColumn(out, F.col("_before") + inside).drop("_h", "_b", "_before")
+
+
 def split_by_hash(df: DataFrame, key: str, seed: str, validation: float = 0.05) -> DataFrame:
     """Adds split: a seeded shuffle cut at floor(n * (1 - validation)).
 
