@@ -85,7 +85,9 @@ def thresholds(facts: DataFrame, goals: DataFrame) -> DataFrame:
     # The last boundary slot goes in if that ends nearer to the budget.
     near = (F.col("over") - F.col("rest")) < (F.col("rest") - F.col("base"))
     below = (F.col("prefix") + F.when(near & F.col("over").isNotNull(), 1).otherwise(0)) * F.lit(1 << (63 - BITS * LEVELS))
-    return state.select("source", "size", "target", "full", below.alias("below"))
+    # A source whose whole copies fill its target takes no further one, not even of rows without a word.
+    some = F.col("rest") > F.col("size") * F.lit(1e-9)
+    return state.select("source", "size", "target", "full", F.when(some, below).otherwise(F.lit(0)).alias("below"))
 
 
 def _facts(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
