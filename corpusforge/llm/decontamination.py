@@ -6,6 +6,10 @@ gives a latent basis, scaled so that frequent directions don't drown the rest. E
 every benchmark item in blocks of the stated query set, and candidates are confirmed by the longest common subsequence
 of words; a paraphrase must also hold the item's answer, its last third.
 
+Before the subsequence, a passage's surroundings must hold so many of an item's telling words (its rarest, by rank) as a
+subsequence of the asked length can't do without. That bound loses no match whatever the frequencies are, and copies
+close enough to count as verbatim need no cosine: only paraphrases depend on the latent space.
+
 The model has DIMS x RANK numbers whatever the corpus; text never shuffles. Defined results: null and empty texts and
 items match nothing; items of fewer than MIN_ITEM words are ignored, as they say nothing; repeated rows are judged
 alike; equal scores name the least item; an empty corpus or benchmark leaves every document clean.
@@ -26,7 +30,7 @@ DIMS, RANK = 1 << 12, 32
 SLICE = 256 << 10  # bytes looked at together: the arrays of a slice fit a cache
 BLOCK, BLOCKS = 12, 3  # words in a block, blocks in a passage
 COSINE = 0.42
-RARE, TELLING, MOST = 1.0, 0.6, 14  # a passage holds that share of an item's words of weight RARE or more, of MOST at most
+TELLING = 0.6  # an item's rarest words, of at least that share of its length, tell whether a passage may hold it
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.65, 0.6  # shares of words in the common subsequence
 MIN_ITEM = 8
 ITEM_BLOCK = 512
@@ -57,6 +61,10 @@ class Tokens:
         self.passage_end = np.minimum(self.passage + BLOCKS, np.cumsum(blocks)[self.block_row[self.passage]])
         self.row = self.block_row[self.passage]
 
+    def block(self) -> np.ndarray:
+        """The block of each word."""
+        return np.repeat(np.arange(len(self.block_at)), np.diff(np.append(self.block_at, len(self.words))))
+
     def passages(self, table: np.ndarray) -> np.ndarray:
         """Sums of table[dim] over each passage."""
         if not len(self.words):
@@ -101,13 +109,10 @@ def latent_basis(text: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for a, b, data, offsets in bs.slices(batch.column(0), SLICE):
                 t = Tokens(data, offsets)
-                row = np.repeat(np.arange(b - a), np.diff(t.before))
-                for lo in range(0, b - a, 1024):
-                    mine = (row >= lo) & (row < lo + 1024)
-                    held = np.zeros((min(1024, b - a - lo), DIMS), bool)
-                    held[row[mine] - lo, t.dim[mine]] = True
-                    total[:DIMS] += held.sum(0)
-                total[DIMS] += b - a
+                # Long documents fill most dimensions, so frequencies count the blocks and not the documents.
+                held = np.sort(t.block() * DIMS + t.dim)
+                total[:DIMS] += np.bincount(held[np.append(True, held[1:] != held[:-1])[: len(held)]] % DIMS, minlength=DIMS)
+                total[DIMS] += len(t.block_at)
         yield _cells(total)
 
     found = _summed(text.mapInArrow(frequencies, "cell int, value double"), DIMS + 1)
@@ -166,6 +171,11 @@ def _masks(item: list[int]) -> dict[int, int]:
     return out
 
 
+def _least(share: float, n: int) -> int:
+    """The least length of a subsequence that is `share` of n words."""
+    return next(k for k in range(int(share * n), n + 1) if k / n >= share)
+
+
 class Items:
     """The benchmark items of one pass: latent vectors, words as numbers of a common vocabulary, weights."""
 
@@ -184,22 +194,44 @@ class Items:
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         self.basis = basis
         self.masks = [_masks(w) for w in self.words]
+        self.telling, self.need = self._tell()
         self.tails = [w[-max(3, len(w) // 3) :] for w in self.words]
         self.tail_masks = [_masks(w) for w in self.tails]
 
-    def _telling(self, t: Tokens, number: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """Passages x items: how often the passage has a rare word of the item."""
-        item, word = np.nonzero(held & (self.weight >= RARE))
+    def _tell(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each item its telling words, and how many of their occurrences a paraphrase and a verbatim copy need.
+
+        A subsequence of so many of the item's words misses the rest at most, even if all that it misses are telling.
+        """
+        telling, need = [], np.zeros((len(self.words), 2), np.int64)
+        for i, w in enumerate(self.words):
+            word, n = np.unique(w, return_counts=True)
+            order = np.argsort(-self.weight[word], kind="stable")
+            held = np.cumsum(n[order])
+            k = int(np.searchsorted(held, TELLING * len(w))) + 1
+            telling.append(word[order[:k]])
+            need[i] = [held[k - 1] - (len(w) - _least(share, len(w))) for share in (PARAPHRASE, VERBATIM)]
+        return telling, need
+
+    def _tellings(self, t: Tokens, number: np.ndarray, some: range, reach: np.ndarray) -> np.ndarray:
+        """Passages x items: how often a passage and `reach` blocks to each side have a telling word of the item."""
+        word = np.concatenate([self.telling[j] for j in some])
+        item = np.repeat(np.arange(len(some)), [len(self.telling[j]) for j in some])
         order = np.argsort(word, kind="stable")
         item, first = item[order], np.searchsorted(word[order], np.arange(len(self.vocabulary) + 2))
         n = np.diff(first)
-        some = np.flatnonzero(n[number])
-        each = n[number[some]]
-        block = np.searchsorted(t.block_at, some, "right") - 1
-        cell = np.repeat(block, each) * len(held) + item[bs.spread(first[number[some]], each)]
-        by_block = np.bincount(cell, minlength=len(t.block_at) * len(held)).reshape(len(t.block_at), len(held)).astype(np.int32)
+        use = np.flatnonzero(n[number])
+        each = n[number[use]]
+        cell = np.repeat(t.block()[use], each) * len(some) + item[bs.spread(first[number[use]], each)]
+        by_block = np.bincount(cell, minlength=len(t.block_at) * len(some)).reshape(len(t.block_at), len(some)).astype(np.int32)
         sums = np.concatenate((np.zeros_like(by_block[:1]), np.cumsum(by_block, axis=0, dtype=np.int32)))
-        return sums[t.passage_end] - sums[t.passage]
+        out = np.empty((len(t.passage), len(some)), np.int32)
+        low, high = np.searchsorted(t.block_row, t.row), np.searchsorted(t.block_row, t.row, "right")
+        for r in np.unique(reach):
+            at = np.flatnonzero(reach == r)
+            mine = np.ascontiguousarray(sums[:, at])
+            out[:, at] = mine[np.minimum(t.passage_end + r, high)] - mine[np.maximum(t.passage - r, low)]
+        return out
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float]]:
         """(row, item, share of the item's words in the common subsequence) for each confirmed pair."""
@@ -217,27 +249,29 @@ class Items:
         for lo in range(0, len(self.words), ITEM_BLOCK):
             some = range(lo, min(lo + ITEM_BLOCK, len(self.words)))
             size = np.array([len(self.words[j]) for j in some])
-            need = np.array([self.weight[np.unique(self.words[j])].sum() for j in some])
-            held = np.zeros((len(some), len(self.vocabulary) + 1), bool)
+            need = np.array([_least(PARAPHRASE, n) for n in size])
+            count = np.zeros((len(some), len(self.vocabulary) + 1), np.int32)
             for j in some:
-                held[j - lo, self.words[j]] = True
-            telling = self._telling(t, number, held)
-            enough = np.maximum(2, np.ceil(TELLING * np.minimum((held & (self.weight >= RARE)).sum(1), MOST)))
+                np.add.at(count[j - lo], self.words[j], 1)
+            held = count > 0
+            telling = self._tellings(t, number, some, -(-size // BLOCK))
+            enough, verbatim = self.need[lo : some.stop].T
             reach = int(size.max())
             padded = np.concatenate((np.full(reach, len(self.vocabulary)), number, np.full(reach + BLOCK * BLOCKS, len(self.vocabulary))))
             for p0 in range(0, len(latent), 8192):
                 near = latent[p0 : p0 + 8192] @ self.vectors[lo : some.stop].T >= COSINE
-                passage, item = np.nonzero(near & (telling[p0 : p0 + 8192] >= enough))
+                told = telling[p0 : p0 + 8192]
+                passage, item = np.nonzero((near & (told >= enough)) | (told >= verbatim))
                 passage += p0
-                # The words of the item that the passage and its surroundings hold, by weight, before any subsequence.
+                # The words of the item that the passage and its surroundings hold, before any subsequence.
                 for c0 in range(0, len(passage), 20000):
                     p, j = passage[c0 : c0 + 20000], item[c0 : c0 + 20000]
                     near = padded[begin[p][:, None] + np.arange(2 * reach + BLOCK * BLOCKS)[None, :]]
                     near = np.where(held[j[:, None], near], near, len(self.vocabulary))
                     near.sort(axis=1)
                     fresh = np.concatenate((np.ones((len(near), 1), bool), near[:, 1:] != near[:, :-1]), axis=1)
-                    mass = (self.weight[near] * fresh).sum(1)
-                    for k in np.flatnonzero(mass >= PARAPHRASE * need[j]):
+                    mass = (count[j[:, None], near] * fresh).sum(1)
+                    for k in np.flatnonzero(mass >= need[j]):
                         row, g = int(t.row[p[k]]), lo + int(j[k])
                         if best.get((row, g), 0.0) >= 1.0:
                             continue

@@ -1,9 +1,10 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from corpus import SCHEMA, WORD, docs, none, rows
+from corpus import SCHEMA, WORD, docs, none, prose, rows
 
 from corpusforge.llm import bytescan as bs
 from corpusforge.llm import decontamination, language_id, licenses, lines, mixing, neardup, quality_classifier, quality_rules, substrings, suffixes, units
@@ -353,6 +354,19 @@ def test_decontamination(spark, corpus):
     assert not any(r.contaminated for r in decontamination.contamination(every, bench.where("false")).collect())
 
 
+def test_decontamination_recalls_what_brute_force_finds(spark):
+    rng = random.Random(7)
+    items = [(i, prose(rng, rng.randint(15, 59))) for i in range(8)]
+    texts = [prose(rng, 4000) + " " + items[i][1] + " " + prose(rng, 4000) if i < 7 else prose(rng, 8000) for i in range(12)]  # long
+    texts += [prose(rng, 20) + " " + items[7][1] + " " + prose(rng, 20) if i < 80 else prose(rng, 60) for i in range(110)]  # a hot group
+    words = [" ".join(["", *t.replace(".", " ").split(), ""]) for t in texts]
+    held = {k for k, t in enumerate(words) if any(" ".join(["", *x.replace(".", " ").split(), ""]) in t for _, x in items)}
+    assert len(held) == 87
+    every = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = unique(decontamination.contamination(every, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert {k for k, r in got.items() if r.contaminated} == held
+
+
 def test_common_subsequence():
     item = [1, 2, 3, 4, 5, 3]
     assert decontamination._lcs(item, decontamination._masks(item), [2, 9, 3, 5, 5, 3, 1]) == 4
