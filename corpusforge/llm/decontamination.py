@@ -11,8 +11,8 @@ subsequence of the asked length can't do without. That bound loses no match what
 close enough to count as verbatim need no cosine: only paraphrases depend on the latent space.
 
 The model has DIMS x RANK numbers whatever the corpus; text never shuffles. Defined results: null and empty texts and
-items match nothing; items of fewer than MIN_ITEM words are ignored, as they say nothing; repeated rows are judged
-alike; equal scores name the least item; an empty corpus or benchmark leaves every document clean.
+items match nothing; items of fewer than MIN_ITEM words match where all their words stand in one piece; characters of
+three bytes or more (Chinese, Japanese, Thai) are words of their own; repeated rows are judged alike; equal scores name the least item; an empty corpus or benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -43,12 +43,25 @@ FOLD[97:123] = np.arange(97, 123)
 FOLD[65:91] = np.arange(97, 123)
 
 
+def _bounds(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as bs.word_bounds has them, parted around each character of three bytes or more."""
+    start, end, before = bs.word_bounds(folded, offsets)
+    wide = folded >= 0xE0
+    if not wide.any():
+        return start, end, before
+    char = np.flatnonzero((folded & 0xC0) != 0x80)
+    after = char[1:][wide[char[:-1]]]
+    parts = np.union1d(start, np.concatenate((np.flatnonzero(wide), after[folded[after] != 32])))
+    end = np.minimum(end[np.searchsorted(start, parts, "right") - 1], np.append(parts[1:], len(folded)))
+    return parts, end, np.searchsorted(parts, offsets)
+
+
 class Tokens:
     """Word hashes of one slice, their dimensions, and the blocks they fall in."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         folded = FOLD[data]
-        start, end, self.before = bs.word_bounds(folded, offsets)
+        start, end, self.before = _bounds(folded, offsets)
         self.words = bs.word_hashes(folded, start, end)
         self.dim = (self.words >> bs.U64(52)).astype(np.int64)
         n = np.diff(self.before)
@@ -184,11 +197,16 @@ class Items:
         t = Tokens(np.frombuffer(b"".join(texts), np.uint8), offsets)
         n = np.diff(t.before)
         keep = np.flatnonzero(n >= MIN_ITEM)
+        short = np.flatnonzero((n > 0) & (n < MIN_ITEM))
         self.vocabulary, number = np.unique(t.words, return_inverse=True)
         self.weight = np.zeros(len(self.vocabulary) + 1, np.float32)
         self.weight[number] = idf[t.dim]
-        self.ids = [ids[i] for i in keep]
+        self.ids = [ids[i] for i in [*keep, *short]]
         self.words = [number[t.before[i] : t.before[i + 1]].tolist() for i in keep]
+        # Short items by length: word sequence -> numbers of the items.
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        for g, i in enumerate(short, len(keep)):
+            self.short.setdefault(int(n[i]), {}).setdefault(tuple(number[t.before[i] : t.before[i + 1]].tolist()), []).append(g)
         rows = [basis[t.dim[t.before[i] : t.before[i + 1]]].sum(0) for i in keep]
         vectors = np.stack(rows) if rows else np.zeros((0, RANK), np.float32)
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
@@ -233,10 +251,23 @@ class Items:
             out[:, at] = mine[np.minimum(t.passage_end + r, high)] - mine[np.maximum(t.passage - r, low)]
         return out
 
+    def _whole(self, t: Tokens, number: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) where all words of a short item stand in one piece."""
+        found: set[tuple[int, int]] = set()
+        for size, items in self.short.items():
+            at, row = bs.windows(t.before, size)
+            firsts = np.zeros(len(self.vocabulary) + 1, bool)
+            lasts = firsts.copy()
+            firsts[[w[0] for w in items]] = True
+            lasts[[w[-1] for w in items]] = True
+            for k in np.flatnonzero(firsts[number[at]] & lasts[number[at + size - 1]]):
+                found.update((int(row[k]), g) for g in items.get(tuple(number[at[k] : at[k] + size].tolist()), ()))
+        return found
+
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float]]:
         """(row, item, share of the item's words in the common subsequence) for each confirmed pair."""
         t = Tokens(data, offsets)
-        if not len(t.words) or not self.words:
+        if not len(t.words) or not self.ids:
             return []
         latent = t.passages(self.basis)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
@@ -245,7 +276,7 @@ class Items:
         begin = t.block_at[t.passage]
         stop = np.append(t.block_at, len(t.words))[t.passage_end]
         stop = np.where(t.passage_end < len(t.block_at), stop, len(t.words))
-        best: dict[tuple[int, int], float] = {}
+        best = dict.fromkeys(self._whole(t, number), 1.0)
         for lo in range(0, len(self.words), ITEM_BLOCK):
             some = range(lo, min(lo + ITEM_BLOCK, len(self.words)))
             size = np.array([len(self.words[j]) for j in some])

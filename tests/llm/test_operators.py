@@ -367,6 +367,14 @@ def test_decontamination_recalls_what_brute_force_finds(spark):
     assert {k for k, r in got.items() if r.contaminated} == held
 
 
+def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
+    items = [(0, "Who wrote it? Nobody."), (1, "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"), (2, "กรุงเทพมหานคร"), (3, "日本語")]
+    texts = ["They asked: who wrote it -- nobody, it seems", "he wrote it and nobody knew who", "诗曰:春眠不觉晓处处闻啼鸟夜来风雨声花落知多少。完", "ไปกรุงเทพมหานครกัน", "the日本語text", "日 and 本語", "鸟落花知声雨多少"]
+    every = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = unique(decontamination.contamination(every, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert {k: r.item_id for k, r in got.items() if r.contaminated} == {0: 0, 2: 1, 3: 2, 4: 3}
+
+
 def test_common_subsequence():
     item = [1, 2, 3, 4, 5, 3]
     assert decontamination._lcs(item, decontamination._masks(item), [2, 9, 3, 5, 5, 3, 1]) == 4
