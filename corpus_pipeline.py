@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines that an earlier one has; n_chars follows the text."""
-    out = lines.dedup_lines(docs)
+    """All documents, without runs of lines that an earlier one has; n_chars follows the text."""
+    out = lines.dedup_lines(docs, kind=lines.Pairs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -1,8 +1,11 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by repeated pairs or content-defined chunks of lines.
 
-A rolling hash over the last two line hashes decides whether a chunk ends after a line, so boundaries move with the text
+Pairs are any two successive lines with words, with the blank lines between; every repeated run of two lines or more is
+made of them, so it goes whole, wherever it stands. The first copy of each line stays. Query and pipeline use pairs.
+
+Chunks cost fewer rows and find only runs that hold whole chunks. A rolling hash over the last two line hashes decides whether a chunk ends after a line, so boundaries move with the text
 and an inserted line disturbs only the chunks around it. Chunks of two or more lines with words that occur again are
-grouped by 128-bit hash; each later one is compared with the first byte by byte, and removed if equal. What comes first
+grouped by 128-bit hash. Of pairs as of chunks, each later one is compared with the first byte by byte, and removed if equal. What comes first
 by (doc_id, place) stays.
 
 Text is shuffled by document only, and of repeated chunks' bytes each once. Defined results: a null text stays null; an
@@ -57,13 +60,32 @@ class Chunks:
         self.trimmed = trimmed
 
 
-def chunk_rows(text: DataFrame) -> DataFrame:
+class Pairs:
+    """Any two successive lines with words of one row, as Chunks has its chunks; they overlap."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        edge = np.unique(np.concatenate((offsets, np.flatnonzero(data == 10) + 1)))
+        start, end = edge[:-1], edge[1:]
+        words = np.concatenate(([0], np.cumsum(~bs.IS_SPACE[data])))
+        full = words[end] > words[start]
+        start, end = start[full], end[full]
+        row = np.searchsorted(offsets, start, "right") - 1
+        one = np.flatnonzero(row[1:] == row[:-1])
+        self.start, self.end, self.row = start[one], end[one + 1], row[one]
+        self.lines = np.full(len(one), 2)
+        self.base = np.searchsorted(self.row, np.arange(len(offsets)))
+        self.number = np.arange(len(one)) - self.base[self.row]
+        self.trimmed = self.end - (data[self.end - 1] == 10)
+        self.hashes = [bs.Rolling(table[data]).of(self.start, self.trimmed) for table in bs.BYTE_VALUES]
+
+
+def chunk_rows(text: DataFrame, kind: type = Chunks) -> DataFrame:
     """(doc_id, text) -> h1, h2, doc_id, k for each chunk of enough lines."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in bs.slices(batch.column(1)):
-                c = Chunks(data, offsets)
+                c = kind(data, offsets)
                 use = np.flatnonzero(c.lines >= MIN_LINES)
                 ids = batch.column(0)[a:b].take(pa.array(c.row[use]))
                 yield pa.RecordBatch.from_arrays([*(pa.array(h[use].view(np.int64)) for h in c.hashes), ids, pa.array(c.number[use], pa.int64())], ["h1", "h2", "doc_id", "k"])
@@ -71,13 +93,13 @@ def chunk_rows(text: DataFrame) -> DataFrame:
     return text.mapInArrow(scan, "h1 long, h2 long, doc_id long, k long").where("doc_id is not null")
 
 
-def chunk_bytes(marked: DataFrame) -> DataFrame:
+def chunk_bytes(marked: DataFrame, kind: type = Chunks) -> DataFrame:
     """(doc_id, text, ks) -> doc_id, k, body of the chunks in ks."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in bs.slices(batch.column(1)):
-                c = Chunks(data, offsets)
+                c = kind(data, offsets)
                 ids, ks, body = [], [], []
                 for r, (ident, wanted) in enumerate(zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), strict=True)):
                     for k in wanted:
@@ -90,16 +112,16 @@ def chunk_bytes(marked: DataFrame) -> DataFrame:
     return marked.mapInArrow(scan, "doc_id long, k long, body binary")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, kind: type = Chunks) -> DataFrame:
     """(id, ks): for each document the numbers of its chunks that equal an earlier one."""
     text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = scratch.cut(chunk_rows(text), "chunks")
+    rows = scratch.cut(chunk_rows(text, kind), "chunks")
     # What joins text grows with the corpus, so it is never broadcast, even where a small one would fit.
     place = F.struct("doc_id", "k")
     firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     shared = scratch.cut(rows.join(firsts, ["h1", "h2"]).distinct(), "chunks-shared")
     wanted = shared.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
-    bodies = scratch.cut(chunk_bytes(text.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "ks")).distinct(), "chunks-bytes")
+    bodies = scratch.cut(chunk_bytes(text.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "ks"), kind).distinct(), "chunks-bytes")
     scratch.free_shuffles(docs.sparkSession)
     own = shared.where(F.struct("doc_id", "k") != F.col("first")).join(bodies.hint("merge"), ["doc_id", "k"])
     lead = shared.where(F.struct("doc_id", "k") == F.col("first")).join(bodies.hint("merge"), ["doc_id", "k"]).select("h1", "h2", F.col("body").alias("first_body"))
@@ -107,9 +129,9 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return scratch.cut(equal.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("k").alias("ks")), "chunks-equal")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
-    """docs with repeated chunks taken out of their text; report adds chunks_removed."""
-    gone = repeated_chunks(docs, id_col, text_col).select(F.col("id").alias(P + "id"), F.col("ks").alias(P + "ks"))
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", report: bool = False, kind: type = Chunks) -> DataFrame:
+    """docs with repeated chunks (or Pairs) taken out of their text; report adds chunks_removed, how many were."""
+    gone = repeated_chunks(docs, id_col, text_col, kind).select(F.col("id").alias(P + "id"), F.col("ks").alias(P + "ks"))
     joined = docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone[P + "id"], "left").drop(P + "id")
     names = joined.columns
     at, ks_at = names.index(text_col), names.index(P + "ks")
@@ -120,7 +142,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             column, marks = batch.column(at), batch.column(ks_at)
             for a, b, data, offsets in bs.slices(column):
                 lists = marks[a:b].to_pylist()
-                c = Chunks(data, offsets) if any(lists) else None
+                c = kind(data, offsets) if any(lists) else None
                 for r, ks in enumerate(lists):
                     text = data[offsets[r] : offsets[r + 1]]
                     if ks:
@@ -146,5 +168,5 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), report=True)
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), report=True, kind=Pairs)
     return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "chunks_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -257,6 +257,28 @@ def test_lines(spark, corpus):
     assert {r.text for r in lines.dedup_lines(lone).collect()} == {"a a\nb b\nc c\nd d"}
 
 
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [prose(rng, 12) + f" {rng.random()}" for _ in range(n)]
+    runs = [fresh(2 + i % 7) for i in range(21)]
+    runs[3].insert(1, "")
+    texts = [[*fresh(5), *r, *fresh(4)] for r in runs + runs[::-1]] + [runs[0] + runs[1], ["", "one line alone"], ["one line alone", ""]]
+    seen, want = set(), {}
+    for d, text in enumerate(texts):
+        at = [i for i, x in enumerate(text) if x.strip()]
+        gone = set()
+        for a, b in zip(at, at[1:]):
+            body = "\n".join(text[a : b + 1])
+            if body in seen:
+                gone.update(range(a, b + 1))
+            seen.add(body)
+        want[d] = [x for i, x in enumerate(text) if i not in gone]
+    assert all(len(want[21 + i]) == 9 for i in range(21))
+    every = spark.createDataFrame([(d, "\n".join(t) + "\n") for d, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(every, kind=lines.Pairs).collect()}
+    assert got == {d: "".join(x + "\n" for x in t) for d, t in want.items()}
+
+
 def test_chunks_resist_shifts():
     body = "\n".join(f"line number {i} of the text" for i in range(200))
     moved = {c[1] for c in chunked("a new first line\n" + body)}
