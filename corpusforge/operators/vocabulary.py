@@ -97,8 +97,10 @@ def train(counts: list[tuple[str, int]], vocab_size: int, min_count: int = 2) ->
 
 
 def train_on(docs: DataFrame, vocab_size: int, text_col: str = "text") -> tuple[dict[str, int], list[Merge]]:
-    counts = piece_counts(docs, text_col).where("n > 1")
-    rows = counts.orderBy(F.desc("n"), "piece").limit(MAX_PIECES).toArrow()
+    """train() on every distinct piece; more than the driver is meant to hold is an error, never a sample."""
+    rows = piece_counts(docs, text_col).limit(MAX_PIECES + 1).toArrow().sort_by([("n", "descending"), ("piece", "ascending")])
+    if len(rows) > MAX_PIECES:
+        raise ValueError(f"more than {MAX_PIECES} distinct pieces")
     return train(list(zip(rows["piece"].to_pylist(), rows["n"].to_pylist(), strict=True)), vocab_size)
 
 

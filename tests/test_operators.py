@@ -218,3 +218,13 @@ def test_accounting(spark):
     want = {"dense-a": (6538171136, 6538171136), "dense-b": (3133384192, 3133384192), "dense-c": (604047872, 604047872), "moe-a": (4781270016, 2063361024), "moe-b": (8993056768, 4161218560)}
     assert {r.name: (r.total_params, r.active_params) for r in runs.parameters(configs(spark)).collect()} == want
     assert {r.name: r.flops_per_token for r in runs.flops(configs(spark)).collect()} == {"dense-a": 44262167040, "dense-b": 23443375104, "dense-c": 3775272960, "moe-a": 15409483776, "moe-b": 29006401536}
+
+
+def test_training_counts_pieces_that_occur_once(spark, monkeypatch):
+    texts = ["xqa", "xqb", "xqc", "xqd", "ab", "ab"]  # x q stands in four pieces, each of which occurs once
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    vocab, merges = vocabulary.train_on(docs, 257)
+    assert merges == [("x", "q")]
+    monkeypatch.setattr(vocabulary, "MAX_PIECES", 4)
+    with pytest.raises(ValueError):
+        vocabulary.train_on(docs, 257)
