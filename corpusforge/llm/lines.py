@@ -1,7 +1,7 @@
 """Line deduplication by repeated pairs or content-defined chunks of lines.
 
 Pairs are any two successive lines with words, with the blank lines between; every repeated run of two lines or more is
-made of them, so it goes whole, wherever it stands. The first copy of each line stays. Query and pipeline use pairs.
+made of them, so it goes whole, wherever it stands. The first copy of each line stays. The query uses pairs, the pipeline chunks.
 
 Chunks cost fewer rows and find only runs that hold whole chunks. A rolling hash over the last two line hashes decides whether a chunk ends after a line, so boundaries move with the text
 and an inserted line disturbs only the chunks around it. Chunks of two or more lines with words that occur again are
