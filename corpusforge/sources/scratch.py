@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one on a local master and else an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="corpusforge-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -35,14 +37,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by cut() that nothing reads any more, and let Spark free the shuffles behind them."""
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_corpusforge_path", None)
         if path:
             jvm = df.sparkSession.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """forget(), and let Spark free the shuffles behind the tables."""
+    forget(*tables)
     if tables:
         free_shuffles(tables[0].sparkSession)
 
