@@ -5,15 +5,17 @@ minhashes serve the 190 tables of six rows that would need 1,140. Only collectio
 table that they share, so the others drop out before pairs are formed. Two documents of similarity s miss each other if
 they share fewer than two collections: at 0.75, 3 pairs in 10,000; at 0.85, less than 1 in 10 million.
 
-Equal sets of shingles are one node. In each table key the document that shares most with others leads; the members'
-links to their leader are confirmed on full sets and components of confirmed links follow. Members that remain apart
-from their leader's component are compared with those members of other components that can be linked with them at all
-(strays). So no link of a key is lost that would join two components, and a group of copies costs links in proportion
-to its size.
+Equal sets of shingles are one node. Nodes are ordered by how much they share with others; in each table key the first
+leads. A node is confirmed against the leader it shares most keys with, confirmed links are contracted to components,
+and of the other leaders only those matter whose group still holds more than one component. Members of such a group
+that remain in different components are compared if sizes, or the rarest shingles that they share outside the leader,
+allow a link at all (strays). So no link of a key is lost that would join two components, and a group of copies costs
+rows in proportion to its size.
 
 Shingles, sets and collections compare by 64-bit hashes (sets by 128 bits). Defined results: null and empty texts have
 no shingles and link with nothing; fewer words than a shingle make one shingle; rows with a null id link with nothing;
-rows of one id are taken to hold one text; an empty table gives no rows.
+rows that repeat an id are judged each by its own text; ids may be of any type that has an order; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusforge.llm import bytescan as bs
@@ -57,6 +60,14 @@ def collections(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return bs.mix(out + np.arange(COLLECTIONS, dtype=np.uint64)[None, :], 9)
 
 
+def _kind(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()
+
+
+def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n (shingles), f1, f2 (the set's fingerprint), keys (null without shingles)."""
 
@@ -75,7 +86,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), *(pa.array(p.view(np.int64)) for p in prints), lists], ["doc_id", "n", "f1", "f2", "keys"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+    return _text(docs, id_col, text_col).mapInArrow(sign, f"doc_id {_kind(docs, id_col)}, n long, f1 long, f2 long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -88,116 +99,151 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
                 sets = pa.array([hashes[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], sets], ["id", "shingles"])
 
-    text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return text.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(read, "id long, shingles binary")
+    wanted = ids.select(F.col("id").alias("doc_id")).hint("merge")
+    return _text(docs, id_col, text_col).join(wanted, "doc_id", "left_semi").mapInArrow(read, f"id {_kind(docs, id_col)}, shingles binary")
+
+
+def linked(percent: int) -> F.Column:
+    return 100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, same: the sizes of the pairs' full sets and of their intersection."""
+def overlaps(pairs: DataFrame, sets: DataFrame, percent: int, outside: bool = False) -> DataFrame:
+    """a, b, na, nb, same: the sizes of the pairs' full sets and of their intersection.
+
+    With outside also `out`: the shingles of a that its leader b lacks, the least first.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((3, batch.num_rows), np.int64)
+            sums, parts, n = np.zeros((3, batch.num_rows), np.int64), [np.zeros(0, np.uint64)], [0]
             for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
                 both = np.concatenate((x, y))
                 both.sort()
-                out[:, i] = len(x), len(y), (both[1:] == both[:-1]).sum()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], ["a", "b", "na", "nb", "same"])
-
-    return _with_sets(pairs, sets).mapInArrow(count, "a long, b long, na long, nb long, same long")
-
+                sums[:, i] = len(x), len(y), (both[1:] == both[:-1]).sum()
+                if outside:
+                    out = np.setdiff1d(x, y, assume_unique=True)
+                    parts.append(out)
+                    n.append(len(out))
+            columns, names = [batch.column(0), batch.column(1), *map(pa.array, sums)], ["a", "b", "na", "nb", "same"]
+            if outside:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(n), pa.int32()), pa.array(np.concatenate(parts).view(np.int64))))
+                names.append("out")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     # Both sides grow with the corpus: neither is broadcast, even where a small one would fit.
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+    full = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return full.mapInArrow(count, f"a {kind}, b {kind}, na long, nb long, same long" + ", out array<long>" * outside)
 
 
-def linked(percent: int) -> F.Column:
-    return 100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))
-
-
-def outsiders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, s: shingles of a that its leader b lacks, as many of the least as a link without more of b's needs.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of all nodes that have an edge (a, b): the least node reachable.
 
-    A partner of a shares percent / 100 of a's shingles at least, of which b accounts for `same` at most; the rest, t,
-    lies outside b, so two partners share one of the |outside| - t + 1 least of each.
+    Every node points to its least neighbour or itself, pointers are followed to their roots, and edges are carried
+    over to the roots, until no edge is left between two of them.
     """
-
-    def list_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, n = [np.zeros(0, np.uint64)], []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                out = np.setdiff1d(x, y, assume_unique=True)
-                need = -(-percent * len(x) // 100) - (len(x) - len(out))
-                parts.append(out[: len(out) - max(need, 1) + 1])
-                n.append(len(parts[-1]))
-            index = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(parts).view(np.int64))], ["a", "b", "s"])
-
-    return _with_sets(pairs, sets).mapInArrow(list_them, "a long, b long, s long")
-
-
-def strays(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that may still be linked across components: members of one leader, one of them apart from it.
-
-    For y apart from its leader L and another member x of L: what they share within L is min(|x & L|, |y & L|) at most.
-    Either that suffices for a link, which bounds |x| to sizes that few members have (bands of sizes meet), or x and y
-    share shingles outside L (the least of these meet). Pairs that do neither can't be linked, so a group of copies
-    isn't compared with all that stray near it.
+    links, labels = scratch.cut(edges.select("a", "b").where("a <> b").distinct(), "neardup-edges"), None
+    while labels is None or not links.isEmpty():
+        both = links.union(links.select("b", "a"))
+        up = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("up")), "neardup-up")
+        while True:
+            over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            new = scratch.cut(up.join(over, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "neardup-up")
+            scratch.forget(up)
+            up = new.select("node", "up")
+            up._corpusforge_path = new._corpusforge_path
+            if new.where("moved").isEmpty():
+                break
+        ends = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
+        left = scratch.cut(links.join(ends[0], "a").join(ends[1], "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "neardup-edges")
+        if labels is None:
+            new = scratch.cut(up.select("node", F.col("up").alias("label")), "neardup-labels")
+        else:
+            over = up.select(F.col("node").alias("label"), F.col("up").alias("top"))
+            new = scratch.cut(labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "neardup-labels")
+        scratch.forget(links, up, *([labels] if labels is not None else []))
+        links, labels = left, new
+    scratch.forget(links)
+    return labels
+
+
+def united(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: components of the components that these join."""
+    found = scratch.cut(_owned(links, labels).select(F.col("own").alias("a"), F.col("lead_own").alias("b")).distinct(), "neardup-found")
+    if found.where("a <> b").isEmpty():
+        return labels
+    roots = components(found)
+    old = labels.unionByName(roots.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
+    over = roots.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    new = scratch.cut(old.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "neardup-labels")
+    scratch.forget(found, roots, labels)
+    return new
+
+
+def _owned(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the components of both: own, lead_own."""
+    own = labels.select(F.col("node").alias("a"), F.col("label").alias("own_label"))
+    lead = labels.select(F.col("node").alias("b"), F.col("label").alias("lead_label"))
+    joined = pairs.join(own, "a", "left").join(lead, "b", "left")
+    return joined.select(*pairs.columns, F.coalesce("own_label", "a").alias("own"), F.coalesce("lead_label", "b").alias("lead_own"))
+
+
+def mixed_groups(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """The stars (a, b, score) of leaders b whose group holds a member apart from the leader's component; all: its size."""
+    owned = scratch.cut(_owned(stars, labels), "neardup-owned")
+    sizes = owned.groupBy("b").agg(F.count_if(F.col("own") != F.col("lead_own")).alias("k"), F.count(F.lit(1)).alias("all"))
+    heads = scratch.cut(sizes.where("k > 0").select("b", "all"), "neardup-heads")
+    out = scratch.cut(owned.join(heads, "b").select("a", "b", "score", "all"), "neardup-mixed")
+    scratch.forget(owned, heads)
+    return out
+
+
+def strays(members: DataFrame, percent: int) -> DataFrame:
+    """members (a, b, na, same, out, own, lead_own, low) of mixed groups -> pairs (a, b) of them that may still be linked.
+
+    A link of x and y needs percent / (100 + percent) of |x| + |y| in common; within their leader that is `same` of
+    either at most, so what lacks, `need`, lies outside it. Where nothing lacks, bands of sizes that suffice meet. All
+    others must share `need` shingles outside the leader, so they meet by the rarest of those that a second component
+    of the group has too, all but need - 1; most members haven't got as many and drop out. low: the group's least size.
     """
-    label = labels.select(F.col("node").alias("a"), F.col("label").alias("own"))
-    lead = labels.select(F.col("node").alias("b"), F.col("label").alias("lead_own"))
-    placed = stars.join(label, "a", "left").join(lead, "b", "left").select("a", "b", "na", "same", F.coalesce("own", "a").alias("own"), F.coalesce("lead_own", "b").alias("lead_own"))
-    marked = scratch.cut(placed.withColumn("apart", F.col("own") != F.col("lead_own")), "neardup-placed")
-    heads = marked.groupBy("b").agg(F.count_if("apart").alias("k"), F.count(F.lit(1)).alias("all")).where("k > 0 AND all > 1").select("b")
-    near = scratch.cut(marked.join(heads, "b", "left_semi"), "neardup-near")
-    p = F.lit(float(percent))
-    most = F.floor((100 + p) / p * F.col("same") - F.col("na") + 1e-9)  # the largest partner that sharing `same` can link
+    p = float(percent)
     band = lambda n: F.floor(F.log(n) / math.log(1.03)).cast("int")
-    y = near.where("apart").select("b", F.col("a").alias("y"), F.col("na").alias("yn"), F.col("same").alias("ys"), F.col("own").alias("yo"), most.alias("ymost"))
-    x = near.select("b", F.col("a").alias("x"), F.col("na").alias("xn"), F.col("same").alias("xs"), F.col("own").alias("xo"), F.col("apart").alias("xa"), most.alias("xmost"), band(F.col("na")).alias("band"))
-    least = F.ceil(p / 100 * F.col("yn"))
-    by_size = (
-        y.where(F.col("ymost") >= least).withColumn("band", F.explode(F.sequence(band(least), band(F.col("ymost"))))).join(x, ["b", "band"])
-        .where((F.col("yo") != F.col("xo")) & F.col("xn").between(least, F.col("ymost")) & (F.col("yn") <= F.col("xmost")))
-    )
-    outside = scratch.cut(outsiders(near.select("a", "b"), sets, percent), "neardup-outside")
-    ys = outside.join(y.select("b", F.col("y").alias("a")), ["b", "a"], "left_semi").select("b", "s", F.col("a").alias("y"))
-    wanted = ys.select("b", "s").distinct()
-    xs = outside.join(wanted, ["b", "s"], "left_semi").select("b", "s", F.col("a").alias("x"))
-    by_shingle = xs.join(ys, ["b", "s"]).where("x <> y").select("x", "y").distinct()
-    owns = marked.select(F.col("a").alias("x"), F.col("own").alias("xo")).distinct(), marked.select(F.col("a").alias("y"), F.col("own").alias("yo")).distinct()
-    across = by_shingle.join(owns[0], "x").join(owns[1], "y").where("xo <> yo")
-    both = by_size.select("x", "y").union(across.select("x", "y"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable over edges (a, b), by neighbours' minima and pointer jumping."""
-    both = scratch.cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("at"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("on"))
-        new = scratch.cut(step.join(jump, "at").select("node", "old", F.least("at", "on").alias("label")), "labels")
-        done = new.where("label <> old").isEmpty()
-        labels = new.select("node", "label")
-        if done:
-            return labels
+    least, apart = F.ceil(F.lit(p / 100) * F.col("na") - 1e-9), F.col("own") != F.col("lead_own")
+    most = F.floor(F.lit((100 + p) / p) * F.col("same") - F.col("na") + 1e-9)  # the largest partner that sharing `same` can link
+    need = F.greatest(F.lit(1), F.ceil(F.lit(p / (100 + p)) * (F.col("na") + F.greatest(least, "low")) - 1e-9) - F.col("same"))
+    near = scratch.cut(members.select("a", "b", "na", "own", apart.alias("apart"), least.alias("least"), most.alias("most"), need.alias("need"), "out"), "neardup-near")
+    side = lambda x, *names: [F.col(c).alias(x + c) for c in names]
+    able = near.where("most >= least")
+    y = able.where("apart").select("b", *side("y", "a", "na", "own", "least", "most"), F.explode(F.sequence(band(F.col("least")), band(F.col("most")))).alias("band"))
+    x = able.select("b", *side("x", "a", "na", "own", "least", "most"), band(F.col("na")).alias("band"))
+    by_size = y.join(x, (y["b"] == x["b"]) & (y["band"] == x["band"]) & (F.col("yown") != F.col("xown")) & F.col("xna").between(F.col("yleast"), F.col("ymost")) & F.col("yna").between(F.col("xleast"), F.col("xmost")))
+    outside = scratch.cut(near.where(F.size("out") >= F.col("need")).select("a", "b", "own", "apart", "need", F.explode("out").alias("s")), "neardup-outside")
+    tally = outside.groupBy("b", "s").agg(F.count(F.lit(1)).alias("df"), F.max("apart").alias("some"), F.min("own").alias("first"), F.max("own").alias("last"))
+    shared = scratch.cut(tally.where("some AND first <> last").select("b", "s", "df"), "neardup-shared")
+    member = W.partitionBy("a", "b")
+    placed = outside.join(shared, ["b", "s"]).withColumn("m", F.count(F.lit(1)).over(member)).withColumn("i", F.row_number().over(member.orderBy("df", "s")))
+    meet = scratch.cut(placed.where("i <= m - need + 1").select("a", "b", "s", "own", "apart"), "neardup-meet")
+    left = meet.where("apart").select("b", "s", *side("y", "a", "own"))
+    right = meet.select("b", "s", *side("x", "a", "own"))
+    by_shingle = left.join(right, (left["b"] == right["b"]) & (left["s"] == right["s"]) & (F.col("yown") != F.col("xown")))
+    both = by_size.select("xa", "ya").union(by_shingle.select("xa", "ya"))
+    out = scratch.cut(both.select(F.least("xa", "ya").alias("a"), F.greatest("xa", "ya").alias("b")).distinct(), "neardup-rest")
+    scratch.forget(near, outside, shared, meet)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable over links), kept."""
     signed = scratch.cut(signatures(docs, id_col, text_col), "neardup-signatures")
     same = ["f1", "f2", "n"]
-    first = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    # Written before it is joined, so that the join's sides can be split where a set has very many copies.
+    first = scratch.cut(signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")), "neardup-first")
     node = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep"))
     members = scratch.cut(signed.join(first, same, "left").select("doc_id", "n", node.alias("rep"), F.when(F.col("doc_id") == node, F.col("keys")).alias("keys")), "neardup-members")
+    scratch.forget(signed, first)
 
     single = members.where("keys is not null").select("rep", F.explode("keys").alias("key"))
     shared = single.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -205,21 +251,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = scratch.cut(ranked.where(F.size("ks") > 1), "neardup-nodes")
     table = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, COLLECTIONS), lambda y: F.xxhash64(x, y))))
     keyed = nodes.select("rep", "score", F.explode(table).alias("pk"))
-    lead = keyed.groupBy("pk").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    inside = keyed.select("pk", "rep").join(lead.select("pk", (-F.col("top.rep")).alias("leader")), "pk")
-
-    stars = scratch.cut(inside.where(F.col("rep") != F.col("leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "neardup-stars")
+    lead = keyed.groupBy("pk").agg(F.min(F.struct((-F.col("score")).alias("s"), "rep")).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    inside = keyed.join(lead.select("pk", F.col("top.rep").alias("leader")), "pk").where(F.col("rep") != F.col("leader"))
+    stars = scratch.cut(inside.groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("keys"), F.max("score").alias("score")), "neardup-stars")
     ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     sets = scratch.cut(full_sets(docs, ids, id_col, text_col), "neardup-sets")
     scratch.free_shuffles(docs.sparkSession)
-    stars = scratch.cut(overlaps(stars, sets), "neardup-overlaps")
-    links = stars.where(linked(percent)).select("a", "b")
-    labels = components(links)
-    rest = scratch.cut(strays(stars, labels, sets, percent), "neardup-rest")
+
+    # Each node's likeliest leader settles most of a group; what the other leaders add is asked only of groups that hold two components.
+    best = stars.groupBy("a").agg(F.min(F.struct((-F.col("keys")).alias("k"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    labels = components(overlaps(best, sets, percent).where(linked(percent)))
+    pairs = mixed_groups(stars.select("a", "b", "score"), labels)
+    scratch.forget(stars)
+    seen = scratch.cut(overlaps(pairs, sets, percent, outside=True), "neardup-overlaps")
+    labels = united(labels, seen.where(linked(percent)).select("a", "b"))
+    owned = scratch.cut(_owned(seen.join(pairs.where("all > 1").select("a", "b"), ["a", "b"]), labels), "neardup-owned")
+    sizes = owned.groupBy("b").agg(F.max(F.col("own") != F.col("lead_own")).alias("mixed"), F.count(F.lit(1)).alias("all"), F.min("na").alias("low"))
+    heads = scratch.cut(sizes.where("mixed AND all > 1").select("b", "low"), "neardup-heads")
+    rest = strays(owned.join(heads, "b"), percent)
+    scratch.forget(pairs, seen, owned, heads)
     if not rest.isEmpty():
-        more = scratch.cut(overlaps(rest, sets).where(linked(percent)).select("a", "b"), "neardup-more")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        labels = united(labels, overlaps(rest, sets, percent).where(linked(percent)).select("a", "b"))
     out = members.select("doc_id", "n", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
