@@ -1,5 +1,7 @@
 """SQL for the queries that SQL can express."""
 
+from corpusforge.llm.suffixes import COVER, PERIOD
+
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 #: Similarity over all pairs that share a shingle, components by a recursive walk from every document that has a link.
@@ -27,7 +29,7 @@ sha256(CASE WHEN l.gone IS NULL THEN array_to_string(w.w, ' ') ELSE array_to_str
 FROM w LEFT JOIN l ON l.doc_id = w.doc_id
 """
 
-SUFFIXES = """
+SUFFIXES = f"""
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
 x AS (SELECT doc_id, unnest(range(n - 399)) AS i, h FROM b WHERE n >= 400),
 m AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM x),
@@ -37,9 +39,12 @@ q AS (SELECT doc_id, i, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 E
 s AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM q GROUP BY doc_id, run),
 t AS (SELECT s.doc_id, s.z AS a, coalesce(lead(s.a) OVER (PARTITION BY s.doc_id ORDER BY s.a), b.n) AS z FROM s JOIN b USING (doc_id) UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id),
 k AS (SELECT t.doc_id, string_agg(substr(b.h, 2 * t.a + 1, 2 * (t.z - t.a)), '' ORDER BY t.a) AS kept FROM t JOIN b USING (doc_id) GROUP BY t.doc_id),
-c AS (SELECT doc_id, sum(z - a)::BIGINT AS gone, count(*) AS spans FROM s GROUP BY doc_id)
-SELECT b.doc_id, b.n AS n_bytes, coalesce(c.gone, 0) AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(unhex(coalesce(k.kept, b.h))) AS kept_sha256
-FROM b LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+c AS (SELECT doc_id, sum(z - a)::BIGINT AS gone, count(*) AS spans FROM s GROUP BY doc_id),
+o AS (SELECT doc_id, unnest(range(n - {PERIOD - 1})) AS i, h FROM b WHERE n >= {PERIOD}),
+u AS (SELECT doc_id, md5(substr(h, 2 * i + 1, {2 * PERIOD})) AS m FROM o WHERE i % {PERIOD} IN {COVER}),
+y AS (SELECT doc_id, count(*) FILTER (WHERE k > 1) AS tuples FROM (SELECT doc_id, count(*) OVER (PARTITION BY m) AS k FROM u) GROUP BY doc_id)
+SELECT b.doc_id, b.n AS n_bytes, coalesce(c.gone, 0) AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(unhex(coalesce(k.kept, b.h))) AS kept_sha256, coalesce(y.tuples, 0)::BIGINT AS n_repeated_tuples
+FROM b LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN y USING (doc_id)
 """
 
 ORACLE = {"op1_minhash": MINHASH, "op4_suffix_array": SUFFIXES, "op5_substring_dedup": SUBSTRINGS}

@@ -1,12 +1,14 @@
 """Substring deduplication by seed and extend over words.
 
-Seeds are winnowed anchors: any window of WINDOW words holds one, and equal windows hold one of equal hash, so only
-windows around anchors that repeat need a look. Extension runs both ways from each seed over the windows that hold it;
-the windows that also start earlier in the corpus are removed, and overlapping ones merge into maximal runs.
-
-Order is (doc_id, start). Windows compare by 64-bit hashes of their words, which confuse two different windows with
-probability (windows around seeds)^2 / 2^65 in all. Defined results: null and empty texts have no words; a null id
-orders before all others; rows with equal ids order as they lie in the table's units; an empty table gives no rows.
+Seeds are winnowed anchors: any window of WINDOW words holds one, and equal windows hold one of equal hash. Units that
+hold an equal anchor meet at it, and only places around anchors that repeat need a look. Extension runs both ways from
+each seed, over all windows that hold it: a window whose words also start earlier in the corpus is part of a match, and
+matching windows that overlap merge into maximal repeats, of WINDOW words at least.
+
+Order is (doc_id, start). Windows compare by 96 bits of two independent hashes of their words, which confuse two
+different windows with probability (windows around seeds)^2 / 2^97 in all. Defined results: null and empty texts have no
+words; a null id orders before all others; rows with equal ids order as they lie in the table's units; ids must be
+integers or null, others raise TypeError; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,13 +34,27 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> None:
         start, end, self.before = bs.word_bounds(data, offsets)
         self.n = np.diff(self.before)
-        roll = bs.Rolling(bs.word_hashes(data, start, end))
+        self.rolls = [bs.Rolling(bs.word_hashes(data, start, end, table)) for table in (0, 1)]
         self.at, self.row = bs.windows(self.before, window)
-        self.window = roll.of(self.at, self.at + window)
+        self.size, self.gram = window, gram
         grams, _ = bs.windows(self.before, gram)
-        pick = bs.winnow(roll.of(grams, grams + gram), window - gram + 1)
+        pick = bs.winnow(self.rolls[0].of(grams, grams + gram), window - gram + 1)
         self.anchor_at = grams[pick]
-        self.anchor = roll.of(self.anchor_at, self.anchor_at + gram)
+        self.anchor = self.rolls[0].of(self.anchor_at, self.anchor_at + gram)
+
+    def around(self, hit: np.ndarray) -> np.ndarray:
+        """A mask of the windows that hold one of the anchors marked in hit: what lies within reach to both sides."""
+        reach = self.size - self.gram
+        near = bs.spread(self.anchor_at[hit] - reach, np.full(int(hit.sum()), reach + 1))
+        zone = np.zeros(self.before[-1] + 1, bool)
+        zone[near[near >= 0]] = True
+        return zone[self.at]
+
+    def hashes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of the windows in some."""
+        at = self.at[some]
+        first, second = (r.of(at, at + self.size) for r in self.rolls)
+        return first, (second >> bs.U64(32)).astype(np.uint32)
 
 
 def _digest(data: np.ndarray, removed: np.ndarray | None, text: bool) -> tuple[str, str | None]:
@@ -57,94 +73,82 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if with_text, kept_text (words by one space)."""
-    packed = scratch.cut(units.pack(docs, id_col, text_col), "substring-units")
-    n_bytes = packed.select(F.sum(F.length("body"))).first()[0] or 0
+    table = units.stored(docs, id_col, text_col, "substring_units")
+    n_bytes = table.select(F.sum("total")).first()[0] or 0
+    none = np.zeros(0, np.uint64)
 
-    def anchors(unit: units.Unit) -> tuple[np.ndarray, None]:
-        return np.concatenate([Words(d, o, window, gram).anchor for _, _, d, o in unit.slices()] or [np.zeros(0, np.uint64)]), None
+    def parts(unit: units.Unit) -> list[tuple[int, Words, np.ndarray, np.ndarray]]:
+        return [(a, Words(d, o, window, gram), d, o) for a, _, d, o in unit.slices()]
 
-    seeds = units.exchange(packed, anchors, n_bytes / 40)
+    def seeds(batch: pa.RecordBatch) -> Iterator[tuple[int, units.Sent]]:
+        for number, unit in units.read_units(batch):
+            yield number, (np.concatenate([none, *(w.anchor for _, w, _, _ in parts(unit))]), None, None)
 
-    def keep_seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A unit's documents that have repeated anchors, with a mask of the windows around these; results of the rest."""
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each unit with repeated anchors the bits of its windows that hold one."""
         for batch in batches:
-            at = batch.schema.names.index("replies")
-            for i, (number, unit) in enumerate(units.read_units(batch)):
-                parts = [(a, Words(d, o, window, gram), d, o) for a, _, d, o in unit.slices()]
-                every = np.concatenate([w.anchor for _, w, _, _ in parts] or [np.zeros(0, np.uint64)])
-                kinds, where, count = np.unique(every, return_inverse=True, return_counts=True)
-                hit = ((units.reply_bits(batch.column(at)[i].as_py()) if len(kinds) else np.zeros(0, bool)) | (count > 1))[where] if len(kinds) else np.zeros(0, bool)
-                ids, sizes, body, masks, done, k = [], [], [], [], [], 0
-                for a, w, d, o in parts:
+            for number, unit in units.read_units(batch, "replies"):
+                repeats = units.reply_bits(unit.extra["replies"])
+                if not repeats.any():
+                    continue
+                every = parts(unit)
+                order, new, _, _ = units.distinct(np.concatenate([w.anchor for _, w, _, _ in every]))
+                hit = np.empty(len(order), bool)
+                hit[order] = repeats[np.cumsum(new) - 1]
+                masks, k = [], 0
+                for _, w, _, _ in every:
                     mine, k = hit[k : k + len(w.anchor)], k + len(w.anchor)
-                    near = bs.spread(w.anchor_at[mine] - (window - gram), np.full(mine.sum(), window - gram + 1))
-                    zone = np.zeros(w.before[-1] + 1, bool)
-                    zone[near[near >= 0]] = True
-                    asked = zone[w.at]
-                    seeded = np.bincount(w.row[asked], minlength=len(w.n)) > 0
-                    masks.append(asked[seeded[w.row]])
-                    for r in range(len(w.n)):
-                        text, ident = d[o[r] : o[r + 1]], None if unit.null[a + r] else int(unit.ids[a + r])
-                        if seeded[r]:
-                            ids.append(ident)
-                            sizes.append(len(text))
-                            body.append(text.tobytes())
-                        else:
-                            done.append((ident, int(w.n[r]), 0, *_digest(text, None, with_text)))
-                mask = np.packbits(np.concatenate(masks)) if masks else np.zeros(0, np.uint8)
-                row = units.unit_row(number, ids, np.array(sizes, np.int64), b"".join(body))
-                results = pa.ListArray.from_arrays(pa.array([0, len(done)], pa.int32()), _rows(done).to_struct_array())
-                yield pa.RecordBatch.from_arrays([*row, pa.array([mask.tobytes()], pa.binary()), results], ["unit", "ids", "sizes", "body", "mask", "done"])
-
-    joined = packed.join(seeds, "unit", "left").select("unit", "ids", "sizes", "body", "replies")
-    seeded = scratch.cut(joined.mapInArrow(keep_seeded, f"{units.UNIT_SCHEMA}, mask binary, done array<struct<{RESULT.replace(' ', ':').replace(',:', ',')}>>"), "substring-seeded")
-    del joined, seeds
-    scratch.drop(packed)
-    n_asked = seeded.select(F.sum(F.length("body"))).first()[0] or 0
-
-    def asked_windows(unit: units.Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-        """Hash, document and start of each window in question, and the slices."""
-        parts = [(a, Words(d, o, window, gram), d, o) for a, _, d, o in unit.slices()]
-        n = sum(len(w.at) for _, w, _, _ in parts)
-        mask, k = np.unpackbits(np.frombuffer(unit.extra, np.uint8), count=n).astype(bool), 0
-        hashes, row, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, w, _, _ in parts:
-            mine, k = mask[k : k + len(w.at)], k + len(w.at)
-            hashes.append(w.window[mine])
-            row.append(w.row[mine] + a)
-            start.append(w.at[mine] - w.before[w.row[mine]])
-        return np.concatenate(hashes), np.concatenate(row), np.concatenate(start), unit.ids, parts
-
-    def windows(unit: units.Unit) -> tuple[np.ndarray, np.ndarray]:
-        h, row, _, ids, _ = asked_windows(unit)
-        return h, ids[row]
-
-    replies = units.exchange(seeded.select("unit", "ids", "sizes", "body", "mask"), windows, n_asked / 6, "mask")
+                    masks.append(w.around(mine))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.packbits(np.concatenate(masks)).tobytes()], pa.binary()), pa.array([int(sum(m.sum() for m in masks))], pa.int64())], ["unit", "mask", "asked"])
+
+    replies = units.exchange(table, seeds, n_bytes / 40)
+    near = scratch.cut(units.told(table, replies).mapInArrow(extend, "unit long, mask binary, asked long"), "substring-near")
+    del replies
+    scratch.free_shuffles(docs.sparkSession)
+    masks, n_asked = near.select("unit", "mask"), near.select(F.sum("asked")).first()[0] or 0
+
+    def asked(unit: units.Unit, every: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """96 bits, document row and start of the windows in question of each slice."""
+        mask, k = np.unpackbits(np.frombuffer(unit.extra["mask"], np.uint8), count=sum(len(w.at) for _, w, _, _ in every)).astype(bool), 0
+        for a, w, _, _ in every:
+            some, k = np.flatnonzero(mask[k : k + len(w.at)]), k + len(w.at)
+            yield *w.hashes(some), w.row[some] + a, w.at[some] - w.before[w.row[some]]
+
+    def windows(batch: pa.RecordBatch) -> Iterator[tuple[int, units.Sent]]:
+        for number, unit in units.read_units(batch, "mask"):
+            if unit.extra["mask"]:
+                found = list(asked(unit, parts(unit)))
+                yield number, (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), unit.ids[np.concatenate([x[2] for x in found])])
+
+    later = units.exchange(units.told(table, masks), windows, n_asked)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("replies")
-            for i, (_, unit) in enumerate(units.read_units(batch, "mask")):
-                h, row, start, ids, parts = asked_windows(unit)
+            for _, unit in units.read_units(batch, "mask", "replies"):
                 rows = []
-                if len(h):
-                    order = np.lexsort((start, row, ids[row], h))
-                    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-                    lost = units.reply_bits(batch.column(at)[i].as_py())[np.cumsum(new) - 1]
-                    gone = np.zeros(len(h), bool)
-                    gone[order] = lost | ~new
-                else:
-                    gone = np.zeros(0, bool)
-                for a, w, d, o in parts:
-                    mine = gone & (row >= a) & (row < a + len(w.n))
-                    removed = bs.covered(start[mine] + w.before[row[mine] - a], window, int(w.before[-1]))
+                if not unit.extra["replies"]:
+                    for a, _, d, o in unit.slices():
+                        n = np.diff(bs.word_bounds(d, o)[2])
+                        rows += [(None if unit.null[a + r] else int(unit.ids[a + r]), int(n[r]), 0, *_digest(d[o[r] : o[r + 1]], None, with_text)) for r in range(len(n))]
+                    yield _rows(rows)
+                    continue
+                every = parts(unit)
+                found = list(asked(unit, every))
+                h, more, row, start = (np.concatenate([x[i] for x in found]) for i in range(4))
+                order, new = units.first_of(h, more, unit.ids[row], row, start)
+                gone = np.zeros(len(h), bool)
+                gone[order] = units.reply_bits(unit.extra["replies"])[np.cumsum(new) - 1] | ~new
+                k = 0
+                for (a, w, d, o), x in zip(every, found, strict=True):
+                    mine, k = gone[k : k + len(x[0])], k + len(x[0])
+                    at = x[3][mine] + w.before[x[2][mine] - a]
+                    removed = bs.covered(at, window, int(w.before[-1]))
                     for r in range(len(w.n)):
                         cut = removed[w.before[r] : w.before[r + 1]]
-                        rows.append((None if unit.null[a + r] else int(ids[a + r]), int(w.n[r]), int(cut.sum()), *_digest(d[o[r] : o[r + 1]], cut, with_text)))
+                        rows.append((None if unit.null[a + r] else int(unit.ids[a + r]), int(w.n[r]), int(cut.sum()), *_digest(d[o[r] : o[r + 1]], cut if cut.any() else None, with_text)))
                 yield _rows(rows)
 
-    asked = seeded.select("unit", "ids", "sizes", "body", "mask").join(replies, "unit", "left").mapInArrow(finish, RESULT)
-    return seeded.select(F.inline("done")).unionByName(asked)
+    return units.told(table, masks, later).mapInArrow(finish, RESULT)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Units of text and exchanges of their hashes.
 
-A unit is one row that holds the documents of a few megabytes. Hashes of a unit are sorted, made distinct and sent to
-buckets by their leading bits as packed arrays: at most one entry for each hash and unit, so that a passage that a third
-of all documents share costs one entry a unit, and a bucket's size follows the number of different hashes. Each bucket
-answers with one bit for each entry. Buckets are chosen by the size of the corpus, so none outgrows a task.
+A unit is one row that holds the documents of a few megabytes. Units are written once, bucketed by their number, and
+stay where they are: what other units know about them comes to them by number. Hashes of a unit are sorted, made
+distinct and sent to ranges of the hash order as packed arrays: at most one entry for each hash and unit, so that a
+passage that a third of all documents share costs one entry a unit, and a range's size follows the number of different
+hashes. Each range sorts what it got and answers each entry with a bit, or with its rank among the repeated ones.
+Ranges are chosen by the size of the corpus, so none outgrows a task.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -19,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm import bytescan as bs
+from corpusforge.llm import scratch
 
 UNIT_BYTES = 4 << 20
 BUCKET_ITEMS = 300_000
-UNIT_SCHEMA = "unit long, ids array<long>, sizes binary, body binary"
-#: Emits (hashes, keys or None) of a unit; keys order equal hashes, the least coming first.
-Emit = Callable[["Unit"], tuple[np.ndarray, np.ndarray | None]]
+UNIT_SCHEMA = "unit long, ids array<long>, sizes binary, total long, body binary"
+MAX_BUCKETS = 100_000  # Spark's own default bound for bucketed tables
 
 
 class Unit(NamedTuple):
@@ -32,7 +35,7 @@ class Unit(NamedTuple):
     null: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
-    extra: bytes
+    extra: dict[str, object]
 
     def slices(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         a, n = 0, len(self.ids)
@@ -47,35 +50,66 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.fill_null(-(1 << 63)), np.int64), null
 
 
-def read_units(batch: pa.RecordBatch, extra: str | None = None) -> Iterator[tuple[int, Unit]]:
+def read_units(batch: pa.RecordBatch, *extra: str) -> Iterator[tuple[int, Unit]]:
     names = batch.schema.names
     for i in range(batch.num_rows):
         ids, null = _ids(batch.column(names.index("ids"))[i].values)
         size = np.frombuffer(batch.column(names.index("sizes"))[i].as_buffer(), np.int64)
         data = np.frombuffer(batch.column(names.index("body"))[i].as_buffer(), np.uint8)
-        more = batch.column(names.index(extra))[i].as_py() if extra else None
-        yield batch.column(names.index("unit"))[i].as_py(), Unit(ids, null, data, np.concatenate(([0], np.cumsum(size))), more or b"")
+        more = {x: batch.column(names.index(x))[i].as_py() for x in extra}
+        yield batch.column(names.index("unit"))[i].as_py(), Unit(ids, null, data, np.concatenate(([0], np.cumsum(size))), more)
 
 
 def unit_row(number: int, ids: list, sizes: np.ndarray, body: bytes) -> list[pa.Array]:
-    return [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.asarray(sizes, np.int64).tobytes()], pa.binary()), pa.array([body], pa.binary())]
+    return [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.asarray(sizes, np.int64).tobytes()], pa.binary()), pa.array([len(body)], pa.int64()), pa.array([body], pa.binary())]
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYTES) -> DataFrame:
-    """Documents as units, numbered by the task that made them; write the result before its numbers are used twice."""
+def _home(number: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark's hash of a long puts each number in."""
+    u32 = lambda x: np.asarray(x, np.uint64) & bs.U64(0xFFFFFFFF)
+    turn = lambda x, r: u32((x << bs.U64(r)) | (x >> bs.U64(32 - r)))
+    h = np.full(len(number), 42, np.uint64)
+    for part in (u32(number), u32(number >> 32)):
+        k = u32(turn(u32(part * bs.U64(0xCC9E2D51)), 15) * bs.U64(0x1B873593))
+        h = u32(turn(h ^ k, 13) * bs.U64(5) + bs.U64(0xE6546B64))
+    h ^= bs.U64(8)
+    h = u32((h ^ (h >> bs.U64(16))) * bs.U64(0x85EBCA6B))
+    h = u32((h ^ (h >> bs.U64(13))) * bs.U64(0xC2B2AE35))
+    h ^= h >> bs.U64(16)
+    return h.astype(np.uint32).view(np.int32).astype(np.int64) % buckets
+
+
+def numbers(task: int, buckets: int) -> Iterator[int]:
+    """Unit numbers of a task, all of one bucket, so that a task writes one file."""
+    base, step = task << 32, max(1024, 4 * buckets)
+    while True:
+        some = np.arange(base, base + step, dtype=np.int64)
+        yield from some[_home(some, buckets) == task % buckets].tolist()
+        base += step
+
+
+def integer_ids(docs: DataFrame, id_col: str) -> None:
+    kind = docs.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"ids must be integers; {id_col} is {kind}")
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYTES, buckets: int = 1) -> DataFrame:
+    """Documents as units; write the result before its numbers are used twice."""
+    integer_ids(docs, id_col)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        fresh = numbers(TaskContext.get().partitionId(), buckets)
         ids, sizes, parts, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(unit_row(number, ids, np.concatenate(sizes), b"".join(parts)), ["unit", "ids", "sizes", "body"])
+            return pa.RecordBatch.from_arrays(unit_row(next(fresh), ids, np.concatenate(sizes), b"".join(parts)), ["unit", "ids", "sizes", "total", "body"])
 
         for batch in batches:
             for a, b, data, offsets in bs.slices(batch.column(1), min(bs.SLICE, unit_bytes)):
                 if held and held + len(data) > unit_bytes:
                     yield row()
-                    number, ids, sizes, parts, held = number + 1, [], [], [], 0
+                    ids, sizes, parts, held = [], [], [], 0
                 ids += batch.column(0)[a:b].to_pylist()
                 sizes.append(np.diff(offsets))
                 parts.append(data.tobytes())
@@ -86,6 +120,29 @@ def pack(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYT
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(fill, UNIT_SCHEMA)
 
 
+def stored(docs: DataFrame, id_col: str, text_col: str, name: str, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+    """The documents as units in a table of the shared folder, bucketed by unit, so that joins by unit don't move bodies."""
+    spark = docs.sparkSession
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # beyond that Spark says that it doesn't know
+    # Fewer buckets than shuffle partitions, and Spark would rather move the bodies.
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (32 << 20))))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{scratch.shared_dir(spark)}/{table}"
+    pack(docs, id_col, text_col, unit_bytes, buckets).write.option("path", path).option("compression", "zstd").bucketBy(buckets, "unit").saveAsTable(table)
+    out = spark.table(table)
+    out._corpusforge_path, out._corpusforge_table = path, table
+    return out
+
+
+def told(units: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Units with the answers that came for them, null where none came; answers have a row a unit at most."""
+    for x in answers:
+        units = units.join(x.hint("shuffle_hash"), "unit", "left")
+    return units
+
+
 def planes(x: np.ndarray) -> bytes:
     """64-bit numbers byte plane by byte plane: equal high bytes lie together, and the shuffle's compression drops them."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -104,32 +161,65 @@ def bucket_bits(items: float) -> int:
     return max(6, math.ceil(math.log2(max(1.0, items / BUCKET_ITEMS))))
 
 
-def exchange(units: DataFrame, emit: Emit, items: float, extra: str | None = None) -> DataFrame:
-    """(unit, replies): a bit for each of a unit's distinct hashes in order.
+def distinct(hashes: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The order of equal hashes, where each different one begins in it, and the different ones (with more bits, if given)."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    if more is not None:
+        new[1:] |= more[order][1:] != more[order][:-1]
+    return order, new, hashes[order][new], None if more is None else more[order][new]
+
 
-    Without keys a bit says that another unit has the hash too; with keys, that another has it with a lesser key, or
-    an equal key and a lesser unit number.
+def first_of(hashes: np.ndarray, more: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (hash, more bits, keys), and where each different hash with its bits begins in it."""
+    order = np.lexsort((*keys[::-1], more, hashes))
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (more[order][1:] != more[order][:-1])
+    return order, new
+
+
+#: What a unit sends: hashes, 32 more bits of each or none, keys of which the least comes first (with more bits) or none.
+Sent = tuple[np.ndarray, np.ndarray | None, np.ndarray | None]
+
+
+def exchange(sources: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[int, Sent]]], items: float, names: bool = False) -> DataFrame:
+    """(unit, replies): for each of a unit's distinct hashes in order, whether it repeats; emit gives what a unit sends.
+
+    Without keys, a hash repeats if the unit has it twice or another unit has it too; with keys, if another has it with a
+    lesser key, or an equal key and a lesser unit number. With names, replies hold the ranks of those that repeat.
     """
     bits = bucket_bits(items)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, unit in read_units(batch, extra):
-                hashes, keys = emit(unit)
+            for number, (hashes, more, keys) in emit(batch):
+                if not len(hashes):
+                    continue
                 if keys is None:
-                    kinds, least = np.unique(hashes), None
+                    order, new, kinds, more = distinct(hashes, more)
+                    start = np.flatnonzero(new)
+                    twice, least = np.diff(np.append(start, len(hashes))) > 1, None
                 else:
-                    order = np.lexsort((keys, hashes))
-                    hashes = hashes[order]
-                    new = np.concatenate((hashes[:1] == hashes[:1], hashes[1:] != hashes[:-1]))
-                    kinds, least = hashes[new], keys[order][new]
+                    order, new = first_of(hashes, more, keys)
+                    kinds, more, least, twice = hashes[order][new], more[order][new], keys[order][new], None
                 slot = (kinds >> bs.U64(64 - bits)).astype(np.int64)
-                edge = np.flatnonzero(np.concatenate((slot[:1] == slot[:1], slot[1:] != slot[:-1])))
+                edge = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
                 stop = np.append(edge[1:], len(slot))
-                cut = lambda x, f, a=edge, b=stop: pa.array([planes(f(x[i:j])) for i, j in zip(a, b, strict=True)], pa.binary())
+
+                def cut(x: np.ndarray | None, f: Callable[[np.ndarray], bytes], a=edge, b=stop) -> pa.Array:
+                    return pa.nulls(len(a), pa.binary()) if x is None else pa.array([f(x[i:j]) for i, j in zip(a, b, strict=True)], pa.binary())
+
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot[edge], pa.int32()), pa.array(np.full(len(edge), number), pa.int64()), cut(kinds, gaps), cut(least, lambda x: x) if least is not None else pa.nulls(len(edge), pa.binary())],
-                    ["bucket", "unit", "hashes", "keys"],
+                    [
+                        pa.array(slot[edge], pa.int32()),
+                        pa.array(np.full(len(edge), number), pa.int64()),
+                        cut(kinds, lambda x: planes(gaps(x))),
+                        cut(more, lambda x: x.tobytes()),
+                        cut(least, planes),
+                        cut(twice, lambda x: np.packbits(x).tobytes()),
+                    ],
+                    ["bucket", "unit", "hashes", "more", "keys", "twice"],
                 )
 
     def answer(table: pa.Table) -> pa.Table:
@@ -137,25 +227,40 @@ def exchange(units: DataFrame, emit: Emit, items: float, extra: str | None = Non
         size = np.array([len(x) for x in lists])
         h = np.concatenate(lists)
         flag = np.zeros(len(h), bool)
+        ranks: list = [None] * len(lists)
+        stop = np.cumsum(size)
+        more = None if table["more"].null_count else np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["more"]])
         if table["keys"].null_count:
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            flag[order[1:][same]] = True
-            flag[order[:-1][same]] = True
+            order, new, _, _ = distinct(h, more)
+            start = np.flatnonzero(new)
+            many = np.diff(np.append(start, len(h))) > 1
+            group = np.cumsum(new) - 1
+            twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(table["twice"], size, strict=True)]).astype(bool)
+            many |= np.logical_or.reduceat(twice[order], start)
+            flag[order] = many[group]
+            if names:
+                rank = np.zeros(len(h), np.int64)
+                rank[order] = (np.cumsum(many) + (table["bucket"][0].as_py() << 40))[group]
+                ranks = [planes(gaps(rank[b - n : b][flag[b - n : b]])) for n, b in zip(size, stop, strict=True)]
         else:
             key = np.concatenate([from_planes(x.as_buffer(), np.int64) for x in table["keys"]])
-            order = np.lexsort((np.repeat(table["unit"].to_numpy(), size), key, h))
-            flag[order[1:][h[order][1:] == h[order][:-1]]] = True
-        stop = np.cumsum(size)
+            order, new = first_of(h, more, key, np.repeat(table["unit"].to_numpy(), size))
+            flag[order[~new]] = True
         out = [np.packbits(flag[b - n : b]).tobytes() for n, b in zip(size, stop, strict=True)]
-        return pa.table({"unit": table["unit"], "bucket": table["bucket"], "n": pa.array(size, pa.int32()), "bits": pa.array(out, pa.binary())})
+        return pa.table({"unit": table["unit"], "bucket": table["bucket"], "n": pa.array(size, pa.int32()), "bits": pa.array(out, pa.binary()), "names": pa.array(ranks, pa.binary())})
 
-    sent = units.mapInArrow(send, "bucket int, unit long, hashes binary, keys binary")
-    told = sent.groupBy("bucket").applyInArrow(answer, "unit long, bucket int, n int, bits binary")
-    return told.groupBy("unit").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("replies"))
+    sent = sources.mapInArrow(send, "bucket int, unit long, hashes binary, more binary, keys binary, twice binary")
+    answers = sent.groupBy("bucket").applyInArrow(answer, "unit long, bucket int, n int, bits binary, names binary")
+    return answers.groupBy("unit").agg(F.collect_list(F.struct("bucket", "n", "bits", "names")).alias("replies"))
 
 
 def reply_bits(replies: list | None) -> np.ndarray:
     """The bits of a unit's distinct hashes, in the order of the hashes."""
     parts = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in sorted(replies or [], key=lambda x: x["bucket"])]
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+
+
+def reply_names(replies: list | None) -> np.ndarray:
+    """The names of a unit's distinct hashes that repeat, in the order of the hashes."""
+    parts = [np.cumsum(from_planes(x["names"], np.int64)) for x in sorted(replies or [], key=lambda x: x["bucket"])]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)

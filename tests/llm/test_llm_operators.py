@@ -411,3 +411,80 @@ def test_winnowing_leaves_no_window_empty():
     mask[bs.winnow(h, 13)] = True
     for i in range(len(h) - 12):
         assert (h[i : i + 13][mask[i : i + 13]] == h[i : i + 13].min()).any()
+
+
+# edge cases of units
+
+TEXTLESS = [(51, "short"), (52, None), (53, ""), (None, "x y"), (55, "a few words only")]
+
+
+def unique_texts():
+    rng = random.Random(5)
+    return [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(500))) for i in range(8)]
+
+
+@pytest.mark.parametrize("data", [TEXTLESS, unique_texts(), [*unique_texts(), *TEXTLESS, (90, unique_texts()[3][1]), (91, "same words here " * 60)]], ids=["short", "unique", "some"])
+def test_units_without_repeats(spark, data):
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    texts = [(i, (t or "").encode()) for i, t in data]
+    seen = Counter(b[k : k + 400] for _, b in texts for k in range(len(b) - 399))
+    got = {r.doc_id: r for r in suffixes.dedup(frame).collect()}
+    for i, b in texts:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        assert (got[i].n_bytes, got[i].n_removed) == (len(b), sum(gone))
+        assert got[i].kept_sha256 == hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup(frame).collect()}
+    known, want = set(), {}
+    for i, t in sorted(data, key=lambda x: (x[0] is not None, x[0] or 0)):
+        w = WORD.findall(t or "")
+        gone = set()
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in known:
+                gone.update(range(k, k + 20))
+            known.add(tuple(w[k : k + 20]))
+        want[i] = (len(w), len(gone))
+    assert words == want
+
+
+def test_many_units_and_slices(spark, monkeypatch):
+    data = [(i, r[1]) for i, r in enumerate(rows(seed=3))]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(units.stored, "__defaults__", (3000,))
+    texts = [(i, (t or "").encode()) for i, t in data]
+    seen = Counter(b[k : k + 400] for _, b in texts for k in range(len(b) - 399))
+    got = {r.doc_id: r.n_removed for r in suffixes.dedup(frame).collect()}
+    for i, b in texts:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        assert got[i] == sum(gone)
+
+
+def test_repeats_of_two_periods_show(spark):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdefghij ") for _ in range(2 * suffixes.PERIOD - 1))
+    fresh = lambda n: "".join(rng.choice("klmnopqrst ") for _ in range(n))
+    data = [(i, fresh(200 + 7 * i) + (shared if i < 6 else "") + fresh(300)) for i in range(12)]
+    got = {r.doc_id: r for r in suffixes.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all((got[i].n_repeated_tuples > 0) == (i < 6) and got[i].n_removed == 0 for i in range(12))
+
+
+def test_ids_that_are_no_integers(spark):
+    frame = spark.createDataFrame([("a", "some words"), ("b", "some words")], "doc_id string, text string")
+    for op in (suffixes.dedup, substrings.dedup):
+        with pytest.raises(TypeError, match="integers"):
+            op(frame)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), ("c", None)], "doc_id string, text string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_unit_numbers_are_of_their_bucket(spark):
+    for task, buckets in ((0, 7), (5, 12), (40, 12)):
+        numbers = units.numbers(task, buckets)
+        some = [next(numbers) for _ in range(20)]
+        found = spark.createDataFrame([(x,) for x in some], "x long").selectExpr(f"pmod(hash(x), {buckets}) AS b").distinct().collect()
+        assert [r.b for r in found] == [task % buckets] and len(set(some)) == 20
