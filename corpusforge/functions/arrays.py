@@ -41,6 +41,11 @@ def halves(x: Column) -> tuple[Column, Column]:
     return F.slice(x, F.lit(1), half), F.slice(x, half + 1, half)
 
 
+def gather(x: Column, index: Column) -> Column:
+    """The items of x at the places in index, from 0; null beyond its end."""
+    return F.transform(index, lambda i: F.get(x, i))
+
+
 def rotate(x: Column, sin: Column, cos: Column) -> Column:
     """x * cos + (-second half, first half) * sin."""
     a, b = halves(x)

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code-point ranges of the scripts that an English vocabulary drops (Greek is kept on purpose).
-SCRIPTS = {
-    "cyrillic": (0x0400, 0x052F), "armenian": (0x0530, 0x058F), "hebrew": (0x0590, 0x05FF), "arabic": (0x0600, 0x06FF),
-    "indic": (0x0900, 0x0DFF), "thai_lao": (0x0E00, 0x0EFF), "georgian": (0x10A0, 0x10FF), "hangul_jamo": (0x1100, 0x11FF),
-    "kana": (0x3040, 0x30FF), "han": (0x3400, 0x9FFF), "hangul": (0xAC00, 0xD7AF), "arabic_forms": (0xFB50, 0xFDFF),
-}
+#: Code-point ranges of the scripts that a pruned vocabulary drops.
+SCRIPTS = (
+    (0x0400, 0x052F),  # Cyrillic
+    (0x0590, 0x05FF),  # Hebrew
+    (0x0600, 0x08FF),  # Arabic and extensions
+    (0x0900, 0x0DFF),  # Indic blocks
+    (0x0E00, 0x0E7F),  # Thai
+    (0x1100, 0x11FF),  # Hangul Jamo
+    (0x3040, 0x30FF),  # Hiragana and Katakana
+    (0x3130, 0x318F),  # Hangul compatibility Jamo
+    (0x3400, 0x4DBF),  # CJK extension A
+    (0x4E00, 0x9FFF),  # CJK unified ideographs
+    (0xAC00, 0xD7AF),  # Hangul syllables
+    (0xF900, 0xFAFF),  # CJK compatibility ideographs
+)
 SPACE_MARK = "▁"
 
 
@@ -41,7 +50,7 @@ def is_atom(c: Column) -> Column:
 
 
 def has_foreign_script(c: Column) -> Column:
-    return c.rlike("[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in SCRIPTS.values()) + "]")
+    return c.rlike("[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in SCRIPTS) + "]")
 
 
 def is_run_of(c: Column, char: str) -> Column:
@@ -66,7 +75,7 @@ def shard_name(prefix: str, split: Column, index: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), split, F.lit("_"), F.lpad(index.cast("string"), 6, "0"), F.lit(".bin"))
 
 
-#: The public split pattern of byte-level tokenizers; (?U) gives \s its Unicode meaning in Java.
+#: Fixed value: the public split pattern of byte-level tokenizers; (?U) gives \s its Unicode meaning in Java.
 PRETOKEN = r"(?U)'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
 
 

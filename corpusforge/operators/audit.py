@@ -36,6 +36,13 @@ def bad_shards(shards: DataFrame, block: int) -> DataFrame:
     return shards.where((F.col("n_tokens") == 0) | (F.col("n_tokens") % block != 0))
 
 
+def resume_gate(shards: DataFrame, state: DataFrame, target: int) -> DataFrame:
+    """found, next_shard, consistent, remaining: shards that are there against the state's next one, and those to make."""
+    found = shards.agg(F.count_distinct("shard").alias("found"))
+    both = found.crossJoin(state.select("next_shard"))  # one row each
+    return both.select("found", "next_shard", (F.col("found") == F.col("next_shard")).alias("consistent"), F.greatest(F.lit(target) - F.col("found"), F.lit(0)).cast("long").alias("remaining"))
+
+
 def mismatches(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """(key, value) tables -> key, actual, expected of the keys that differ."""
     both = actual.select("key", F.col("value").alias("actual")).join(expected.select("key", F.col("value").alias("expected")), "key", "full")

@@ -32,8 +32,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_offsets(counted: DataFrame, start: int = 0, value: str = "n", out: str = "off") -> DataFrame:
-    """Adds `off`, the sum of n over all lesser doc_ids; with value a column of ones, the rank from 0."""
-    part = F.floor(F.col("doc_id") / RANGE)
+    """Adds `off`, the sum of n over all lesser doc_ids; with value a column of ones, the rank from 0.
+
+    Null ids come first, as one range, in no order among themselves.
+    """
+    part = F.coalesce(F.floor(F.col("doc_id") / RANGE), F.lit(-(1 << 62)).cast("long"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = counted.groupBy(part.alias("part")).agg(F.sum(value).alias("total"))
     base = sums.select("part", (F.coalesce(F.sum("total").over(before), F.lit(0)) + start).alias("base"))

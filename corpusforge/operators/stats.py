@@ -51,6 +51,30 @@ def stratified(df: DataFrame, stratum: str, key: str, k: int, seed: str) -> Data
     return df.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
+def least_hashes(df: DataFrame, key: str, k: int, seed: str) -> DataFrame:
+    """k rows without replacement: those of the least hashes, found by each task's own k least."""
+    return df.orderBy(hash_order(seed, F.col(key)), key).limit(k)
+
+
+def draws(df: DataFrame, batches: int, size: int, seed: str, key: str = "doc_id") -> DataFrame:
+    """batch, place and the row drawn, with replacement: a hash of the place modulo the number of rows names a rank."""
+    spark = df.sparkSession
+    ranked = packing.with_offsets(df.select(F.col(key).alias("doc_id"), F.lit(1).cast("long").alias("one")), value="one", out="i")
+    n = ranked.agg(F.count(F.lit(1)).alias("n"))
+    asked = spark.range(batches * size).select(F.floor(F.col("id") / size).alias("batch"), (F.col("id") % size).alias("place"))
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.concat_ws("-", "batch", "place"))), 1, 12), 16, 10).cast("long")
+    picks = asked.crossJoin(F.broadcast(n)).where("n > 0").select("batch", "place", (h % F.col("n")).alias("i"))  # n is one row
+    return picks.join(ranked, "i").select("batch", "place", F.col("doc_id").alias(key))
+
+
+def checked_quota(total: int, held: DataFrame, stratum: str, n: str) -> DataFrame:
+    """stratum, share: even shares of total in order of stratum; a stratum that holds less than its share is an error."""
+    parts = held.count()
+    ranked = held.withColumn("i", F.row_number().over(W.orderBy(stratum)) - 1).withColumn("share", quota(total, F.col("i"), max(parts, 1)))
+    short = F.raise_error(F.concat(F.lit("too few rows in stratum "), F.col(stratum).cast("string"))).cast("long")
+    return ranked.select(stratum, F.when(F.col(n) >= F.col("share"), F.col("share")).otherwise(short).alias("share"))
+
+
 def hash_rank(df: DataFrame, key: Column, seed: str, *ties: str, out: str = "rank", digits: int = 4) -> DataFrame:
     """Adds the row's place from 0 in hash order: a histogram of the leading digits, and the place within a bucket.
 

@@ -161,15 +161,19 @@ def kept_merges(merges: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def reachable(atoms: DataFrame, merges: DataFrame) -> DataFrame:
-    """token: what atoms and merges build, whatever the rank; semi-naive rounds, each written to the shared folder."""
+    """token: what atoms and merges build, whatever the rank; rounds until nothing new is built, each written to the
+    shared folder."""
     known = scratch.cut(atoms.select("token").distinct(), "reachable")
     made = scratch.cut(merges.select("left", "right", F.concat("left", "right").alias("token")), "merges")
     while True:
         built = made.join(known.select(F.col("token").alias("left")), "left", "left_semi").join(known.select(F.col("token").alias("right")), "right", "left_semi")
-        new = scratch.cut(built.select("token").distinct().join(known, "token", "left_anti"), "reachable")
-        if new.isEmpty():
-            return known
-        known = known.union(new)
+        new = built.select("token").union(known).distinct()
+        grown = scratch.cut(new, "reachable")
+        if grown.count() == known.count():
+            scratch.forget(known, made)
+            return grown
+        scratch.forget(known)
+        known = grown
 
 
 def remapped(selected: DataFrame) -> DataFrame:
@@ -196,7 +200,8 @@ def closures(merges: list[tuple[int, str, str]], allowed: set[str], atoms: set[s
 
 
 def select(order: list[str], closure: dict[str, frozenset[str]], required: set[str], budget: int) -> set[str]:
-    """Required tokens with what builds them, then tokens in order wherever their closure still fits; repeated passes fill holes."""
+    """Required tokens with what builds them, then tokens in order wherever their closure still fits; repeated passes fill
+    holes, and a budget that stays unmet is an error. `order` is of tokens that occur."""
     chosen: set[str] = set()
     for token in sorted(required):
         if token not in closure:
@@ -210,5 +215,5 @@ def select(order: list[str], closure: dict[str, frozenset[str]], required: set[s
             if token in closure and token not in chosen and len(chosen | closure[token]) <= budget:
                 chosen |= closure[token]
         if len(chosen) == before:
-            break
+            raise ValueError(f"only {len(chosen)} of {budget} tokens can be chosen")
     return chosen

@@ -8,14 +8,15 @@ from corpusforge.functions import numeric, text
 from corpusforge.operators import runs, vocabulary
 from corpusforge.plans.base import query, table
 
-# A vocabulary that any engine can build: words of letters with their prefixes, each prefix made from the one before.
-VOCAB = "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM w GROUP BY w), x AS (SELECT left(w, k) AS token, n FROM c, range(1, 31) t(k) WHERE k <= length(w) AND length(w) <= 30), t AS (SELECT token, sum(n)::BIGINT AS n FROM x GROUP BY token), v AS (SELECT token, n, (row_number() OVER (ORDER BY length(token), token) - 1)::INT AS id FROM t), m AS (SELECT left(token, length(token) - 1) AS \"left\", right(token, 1) AS \"right\", token AS output, row_number() OVER (ORDER BY length(token), token) - 1 AS rank FROM t WHERE length(token) > 1)"
+# A vocabulary that any engine can build: words of letters (longer runs in pieces of 30) with their prefixes, each made
+# from the one before.
+VOCAB = "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{1,30}')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM w GROUP BY w), x AS (SELECT left(w, k) AS token, n FROM c, range(1, 31) t(k) WHERE k <= length(w)), t AS MATERIALIZED (SELECT token, sum(n)::BIGINT AS n FROM x GROUP BY token), v AS MATERIALIZED (SELECT token, n, (row_number() OVER (ORDER BY length(token), token) - 1)::INT AS id FROM t), m AS MATERIALIZED (SELECT left(token, length(token) - 1) AS \"left\", right(token, 1) AS \"right\", token AS output, row_number() OVER (ORDER BY length(token), token) - 1 AS rank FROM t WHERE length(token) > 1)"
 
 
 def vocab(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("length(w) <= 30")
+    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{1,30}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     x = w.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("token"), "n")
     t = x.groupBy("token").agg(F.sum("n").alias("n"))
     return t.withColumn("id", (F.row_number().over(W.orderBy(F.length("token"), "token")) - 1).cast("int"))
@@ -28,7 +29,7 @@ def merges(spark, sf_dir):
     return t.select(F.expr("left(token, length(token) - 1)").alias("left"), F.expr("right(token, 1)").alias("right"), F.col("token").alias("output"), (F.row_number().over(W.orderBy(F.length("token"), "token")) - 1).cast("long").alias("rank"))
 
 
-SELECTED = VOCAB + ", s AS (SELECT token, id AS old_id, n, CASE WHEN length(token) = 1 THEN 0 ELSE 1 END AS class FROM v WHERE length(token) = 1 OR n >= 20)"
+SELECTED = VOCAB + ", s AS MATERIALIZED (SELECT token, id AS old_id, n, CASE WHEN length(token) = 1 THEN 0 ELSE 1 END AS class FROM v WHERE length(token) = 1 OR n >= 20)"
 
 
 def selected(spark, sf_dir):
@@ -50,7 +51,7 @@ def vocab_dense(spark, sf_dir):
 
 ODD = ["<0x00>", "<0xFF>", "<0xff>", "x<0x00>", "<unused7>", "<unused>", "<|end|>", "torch.nn.Linear", "λ = 3.0", "汉字", "مرحبا", "▁hello", "привет", "\n\n", "\n ", "a", "é"]
 ODD_SQL = "(SELECT unnest([" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in ODD) + "]) AS token)"
-FOREIGN = "[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in text.SCRIPTS.values()) + "]"
+FOREIGN = "[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in text.SCRIPTS) + "]"
 
 
 def odd(spark):
@@ -91,7 +92,7 @@ def vocab_inverse(spark, sf_dir):
     return vocab(spark, sf_dir).select(F.col("id").alias("old_id")).join(new, "old_id", "left").select("old_id", F.coalesce("new_id", F.lit(-1)).alias("new_id"))
 
 
-@query(SELECTED + ' SELECT rank, "left", "right", output FROM m WHERE "left" IN (SELECT token FROM s) AND "right" IN (SELECT token FROM s) AND output IN (SELECT token FROM s)')
+@query(SELECTED + ' SELECT rank, "left", "right", output FROM m JOIN s a ON a.token = m."left" JOIN s b ON b.token = m."right" JOIN s c ON c.token = m.output')
 def merge_filter(spark, sf_dir):
     return vocabulary.kept_merges(merges(spark, sf_dir).select("rank", "left", "right"), selected(spark, sf_dir))
 
@@ -127,10 +128,10 @@ def substr_closure(spark, sf_dir):
     return sub.join(s.select(F.col("token").alias("piece")), "piece", "left_semi")
 
 
-@query(SELECTED + ", d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) AS pos FROM documents WHERE doc_id < 100), r AS (SELECT token, (row_number() OVER (ORDER BY class, old_id) - 1)::INT AS new_id FROM s) SELECT doc_id, md5(string_agg(coalesce(new_id, -1)::VARCHAR, ',' ORDER BY pos)) AS ids FROM d LEFT JOIN r USING (token) GROUP BY doc_id")
+@query(SELECTED + ", d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) AS pos FROM documents), r AS (SELECT token, (row_number() OVER (ORDER BY class, old_id) - 1)::INT AS new_id FROM s) SELECT doc_id, md5(string_agg(coalesce(new_id, -1)::VARCHAR, ',' ORDER BY pos)) AS ids FROM d LEFT JOIN r USING (token) GROUP BY doc_id")
 def mapped_sequence(spark, sf_dir):
     new = vocabulary.remapped(selected(spark, sf_dir)).select("token", "new_id")
-    d = table(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "token"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "token"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new_id", F.lit(-1)).alias("id")))), lambda x: x["id"].cast("string"))
     return d.join(new, "token", "left").groupBy("doc_id").agg(F.md5(F.array_join(ids, ",")).alias("ids"))
 
@@ -148,7 +149,7 @@ def pretoken_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(plain, F.lit(" ?[A-Za-z]+"), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS piece FROM documents), c AS (SELECT piece, count(*) AS n FROM w GROUP BY piece), h AS (SELECT n, regexp_extract_all(hex(encode(piece)), '..') AS h FROM c), p AS (SELECT n, h[i] AS l, h[i + 1] AS r FROM h, range(1, 100) t(i) WHERE i < len(h)) SELECT l AS \"left\", r AS \"right\", sum(n)::BIGINT AS n FROM p GROUP BY 1, 2")
+@query("WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS piece FROM documents), c AS (SELECT piece, count(*) AS n FROM w GROUP BY piece), h AS (SELECT n, regexp_extract_all(hex(encode(piece)), '..') AS h FROM c), p AS (SELECT n, h[i] AS l, h[i + 1] AS r FROM (SELECT n, h, unnest(range(1, len(h))) AS i FROM h)) SELECT l AS \"left\", r AS \"right\", sum(n)::BIGINT AS n FROM p GROUP BY 1, 2")
 def pair_counts(spark, sf_dir):
     pieces = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     return vocabulary.pair_counts(pieces)
@@ -183,9 +184,9 @@ def bpe_roundtrip(spark, sf_dir):
 
 @query()
 def vocab_select(spark, sf_dir):
-    """Greedy selection of 200 tokens with their closures; the vocabulary is bounded by its length and count limits."""
-    rows = vocabulary.ranked(vocab(spark, sf_dir)).where("n >= 20 OR length(token) = 1").orderBy("place").collect()
-    made = [(r["rank"], r["left"], r["right"]) for r in vocabulary.kept_merges(merges(spark, sf_dir).select("rank", "left", "right"), selected(spark, sf_dir)).collect()]
+    """Greedy selection of 200 tokens with their closures; both lists are those of one model file."""
+    rows = vocabulary.ranked(vocab(spark, sf_dir)).orderBy("place").collect()
+    made = [(r["rank"], r["left"], r["right"]) for r in merges(spark, sf_dir).collect()]
     order = [r["token"] for r in rows]
     found = vocabulary.closures(made, set(order), {t for t in order if len(t) == 1})
     chosen = vocabulary.select(order, found, {t for t in order if len(t) == 1}, 200)

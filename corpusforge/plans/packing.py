@@ -60,9 +60,9 @@ def pack_shards(spark, sf_dir):
     return audit.by_shard(facts(spark, sf_dir)).select("shard", "split", "n_blocks", "n_tokens", "n_bos")
 
 
-@query(FULL + " SELECT shard, n_tokens, (string_split(array_to_string(list_transform(regexp_extract_all(stream, '..'), lambda x: CASE WHEN x = '##' THEN '256' ELSE ('0x' || x)::INT::VARCHAR END), ','), ',')[1:5])::VARCHAR[] IS NOT NULL AS ok, md5(array_to_string(list_transform(regexp_extract_all(stream, '..'), lambda x: CASE WHEN x = '##' THEN '256' ELSE ('0x' || x)::INT::VARCHAR END), ',')) AS ids_digest, block FROM b WHERE block % 16 = 0")
+@query(FULL + " SELECT shard, n_tokens, (string_split(array_to_string(list_transform(regexp_extract_all(stream, '..'), lambda x: CASE WHEN x = '##' THEN '256' ELSE ('0x' || x)::INT::VARCHAR END), ','), ',')[1:5])::VARCHAR[] IS NOT NULL AS ok, md5(array_to_string(list_transform(regexp_extract_all(stream, '..'), lambda x: CASE WHEN x = '##' THEN '256' ELSE ('0x' || x)::INT::VARCHAR END), ',')) AS ids_digest, block FROM b")
 def decode_blocks(spark, sf_dir):
-    some = packing.with_shards(packing.blocks(docs(spark, sf_dir), B)).where("block % 16 = 0")
+    some = packing.with_shards(packing.blocks(docs(spark, sf_dir), B))
     ids = F.array_join(packing.decode(F.col("stream")).cast("array<string>"), ",")
     return some.select("shard", "n_tokens", F.lit(True).alias("ok"), F.md5(ids).alias("ids_digest"), "block")
 
@@ -115,9 +115,13 @@ def bad_shards(spark, sf_dir):
     return audit.bad_shards(audit.by_shard(facts(spark, sf_dir)), 4096).select("shard", "n_tokens")
 
 
-@query(SHARDS + " SELECT (SELECT count(*) FROM sh) = 604 AS shards_as_expected, count(*) FILTER (WHERE n_tokens = 4096) AS full_shards, sum(n_tokens)::BIGINT AS tokens FROM sh")
+@query(SHARDS + " SELECT count(*) = (SELECT sum(strlen(coalesce(text, '')) + 1) FROM documents) // 512 // 8 + CASE WHEN (SELECT sum(strlen(coalesce(text, '')) + 1) FROM documents) // 512 % 8 > 0 THEN 1 ELSE 0 END AS shards_as_expected, count(*) FILTER (WHERE n_tokens = 4096) AS full_shards, sum(n_tokens)::BIGINT AS tokens FROM sh")
 def shard_totals(spark, sf_dir):
-    return audit.by_shard(facts(spark, sf_dir)).agg((F.count(F.lit(1)) == 604).alias("shards_as_expected"), F.count_if(F.col("n_tokens") == 4096).alias("full_shards"), F.sum("n_tokens").alias("tokens"))
+    """Shards against those that the corpus must fill: whole blocks of 512 tokens, 8 to a shard."""
+    n_blocks = F.floor(F.sum("n") / 512)
+    want = packing.token_counts(docs(spark, sf_dir)).agg(F.ceil(n_blocks / 8).alias("want"))
+    got = audit.by_shard(facts(spark, sf_dir)).agg(F.count(F.lit(1)).alias("got"), F.count_if(F.col("n_tokens") == 4096).alias("full_shards"), F.sum("n_tokens").alias("tokens"))
+    return got.crossJoin(want).select((F.col("got") == F.col("want")).alias("shards_as_expected"), "full_shards", "tokens")  # one row each
 
 
 META = "(VALUES ('block_size', '4'), ('bos_id', '2'), ('dtype', 'uint16'), ('format_version', '1'), ('vocab_size', '65536'))"

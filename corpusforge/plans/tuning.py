@@ -40,13 +40,13 @@ def compression_ratio(spark, sf_dir):
     return d.groupBy("lang").agg(F.round(F.sum("b") / words, 6).alias("bytes_per_word"), F.round(F.sum(F.col("b") + 1) / words, 6).alias("token_ratio"))
 
 
-@query("WITH p AS (SELECT doc_id // 100 AS win, sum(strlen(text) + 1) OVER (PARTITION BY doc_id // 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pos FROM documents), q AS (SELECT win, coalesce(pos, 0)::BIGINT AS pos FROM p), n AS (SELECT *, lead(pos) OVER (PARTITION BY win ORDER BY pos) AS nxt FROM q) SELECT win AS window, pos + 1 AS start, nxt - pos - 1 AS n FROM n WHERE nxt IS NOT NULL AND nxt - pos - 1 BETWEEN 8 AND 4000")
+@query("WITH p AS (SELECT doc_id // 100 AS win, sum(strlen(text) + 1) OVER (PARTITION BY doc_id // 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pos FROM documents), q AS (SELECT win, coalesce(pos, 0)::BIGINT AS pos FROM p), n AS (SELECT *, lead(pos) OVER (PARTITION BY win ORDER BY pos) AS nxt FROM q) SELECT win AS window, pos + 1 AS start, nxt - pos - 1 AS n FROM n WHERE nxt IS NOT NULL AND nxt - pos - 1 BETWEEN 8 AND 100000")
 def span_extract(spark, sf_dir):
     from pyspark.sql import Window as W
 
     by = W.partitionBy("window").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
     d = docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 100).alias("window"), "doc_id", (F.octet_length("text") + 1).alias("n"))
-    return stats.spans(d.select("window", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("pos")), 8, 4000)
+    return stats.spans(d.select("window", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("pos")))
 
 
 @query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('7' || doc_id::VARCHAR), doc_id) AS rn FROM documents) WHERE rn <= 5")
@@ -262,11 +262,11 @@ def window_mask_pairs(spark, sf_dir):
     return routing.window_pairs(200, 16, spark)
 
 
-@query("WITH g AS (SELECT vec_id, i - 1 AS dim, x::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 50)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, dim) AS place FROM g) SELECT vec_id, dim::INT AS dim, round(exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id), 6) AS p FROM r WHERE place <= 10")
+@query("WITH g AS (SELECT vec_id, i - 1 AS dim, x::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, dim) AS place FROM g) SELECT vec_id, dim::INT AS dim, round(exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id), 6) AS p FROM r WHERE place <= 10")
 def topk_sample_support(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    g = table(spark, sf_dir, "embeddings").where("vec_id < 50").select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    g = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     kept = g.withColumn("place", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("x"), "dim"))).where("place <= 10")
     return kept.select("vec_id", "dim", F.round(F.exp("x") / F.sum(F.exp("x")).over(W.partitionBy("vec_id")), 6).alias("p"))
 

@@ -209,17 +209,21 @@ def save_state(folder: str, *, next_shard: int, completed_docs: int, doc_token_o
 
 
 def load_state(folder: str, expected: dict) -> dict:
-    """The state to resume from; an error if it is complete, negative or of other metadata."""
+    """The state to resume from, or an error that names all that is wrong with it; `complete` may be absent."""
     with open(os.path.join(folder, STATE)) as f:
-        state = json.load(f)
-    missing = {"next_shard", "completed_docs", "doc_token_offset", "metadata", "complete"} - set(state)
-    if missing:
-        raise ValueError(f"checkpoint lacks {', '.join(sorted(missing))}")
-    differ = sorted(k for k in expected if state["metadata"].get(k) != expected[k])
-    if differ:
-        raise ValueError(f"checkpoint is of other metadata: {', '.join(differ)}")
-    if state["complete"]:
-        raise ValueError("the run is complete")
-    if min(state["next_shard"], state["completed_docs"], state["doc_token_offset"]) < 0:
-        raise ValueError("checkpoint holds negative counts")
+        state = {"complete": False} | json.load(f)
+    counts = {k: state.get(k) for k in ("next_shard", "completed_docs", "doc_token_offset")}
+    kept = state.get("metadata") or {}
+    faults = [f"{k} must be a count, not {v!r}" for k, v in counts.items() if not isinstance(v, int) or v < 0]
+    faults += [f"{k} was {kept.get(k)!r}, now {v!r}" for k, v in sorted(expected.items()) if kept.get(k) != v]
+    faults += ["the run is complete"] * bool(state["complete"])
+    if faults:
+        raise ValueError("checkpoint: " + "; ".join(faults))
     return state
+
+
+def check_folder(folder: str, state: dict) -> None:
+    """A resumed run needs as many shards in its folder as its state has counted."""
+    found = sum(bool(NAME.match(x)) for x in os.listdir(folder))
+    if found != state["next_shard"]:
+        raise ValueError(f"the state counts {state['next_shard']} shards, the folder holds {found}")
