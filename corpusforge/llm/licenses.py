@@ -1,10 +1,14 @@
 """Licence scan by a trained paragraph classifier.
 
-Paragraphs are the lines of a text. Sparse hashed word uni- and bigrams feed a multinomial logistic regression over
-licence families and `unknown`; it is trained here on variations of the templates below and on a bounded sample of the
-corpus's own paragraphs as unknown ones. A temperature fitted on held-out variations calibrates the probabilities, and a
-family counts only if its probability exceeds CONFIDENT and one of its templates shares enough of its words, in order,
-with the paragraph. One pass without a shuffle; the model has DIMS x families numbers.
+A paragraph is a run of lines with words; blank lines part them. Notices are wrapped and stand among other lines, so
+each line and each window of up to the longest of SPANS lines within a paragraph is judged. Sparse hashed word uni- and
+bigrams feed a multinomial logistic regression over licence families and `unknown`. It is trained here on variations of
+the templates below; as unknown ones on templates whose telling words are replaced (licences it doesn't know) or that
+are negated, on notices of other licences, and on a bounded sample of the corpus's own lines that match no template.
+A temperature fitted on held-out variations and held-out unknown licences calibrates the probabilities. A family counts
+if its probability exceeds CONFIDENT and a template confirms it: it shares enough words in order with the window, the
+window holds the template's telling words, none of the unknown notices is as close, and no word denies it.
+One pass without a shuffle; the model has DIMS x families numbers.
 
 Defined results: null and empty texts and paragraphs have no licence; of equal probabilities the first family by name
 wins; repeated rows are judged alike; an empty table trains on the templates alone and returns no rows.
@@ -46,10 +50,18 @@ TEMPLATES = {
     "public-domain": ("This is free and unencumbered software released into the public domain.", "This work is dedicated to the public domain under CC0 1.0.", "Released under the Unlicense."),
 }
 FAMILIES = (*TEMPLATES, UNKNOWN)
+SPANS = (1, 2, 3, 4, 6, 8)  # lines of a window
+#: Notices of licences outside the families, and lines that only look like notices.
+STRANGERS = (
+    "Licensed under the EUPL, Version 1.2 or later.", "Distributed under the Boost Software License, Version 1.0.", "Released under the zlib License.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "The contents of this file are subject to the Common Development and Distribution License.", "Licensed under the Artistic License 2.0.", "Released under the WTFPL, version 2.", "Licensed under the Open Software License version 3.0.",
+    "A driver's license is required to rent a car.", "The license fee is due every year.", "See the license file for details of your rights.", "All rights and duties are reserved for the members of the council.",
+)
+DENIALS = ("not", "never", "no", "cannot")
 
 
 class Paragraphs:
-    """Lines with words of one slice, and their hashed uni- and bigrams."""
+    """Lines with words of one slice, their hashed uni- and bigrams, and the windows of successive lines."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         folded = FOLD[data]
@@ -60,37 +72,73 @@ class Paragraphs:
         used = np.flatnonzero(n)
         self.first, self.n = before[:-1][used], n[used]
         self.row = np.searchsorted(offsets, edge[:-1][used], "right") - 1
+        # A line without words, or another document, ends a paragraph.
+        fresh = np.ones(len(used), bool)
+        fresh[1:] = (used[1:] != used[:-1] + 1) | (self.row[1:] != self.row[:-1])
+        self.paragraph = np.cumsum(fresh) - 1
         place = np.arange(len(self.hash)) - np.repeat(self.first, self.n)
         one = self.hash >> bs.U64(64 - BITS)
         two = np.concatenate((self.hash[:1], bs.mix(self.hash[1:] + bs.U64(7) * self.hash[:-1], 6))) >> bs.U64(64 - BITS)
         self.dims = np.stack((one, np.where(place > 0, two, one)), 1).astype(np.int64)
 
-    def scores(self, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """Mean of the weights of a paragraph's events, times the root of their number, plus bias."""
+    def windows(self, span: int) -> np.ndarray:
+        """First lines of the windows of `span` lines that stay within a paragraph."""
+        at = np.arange(max(len(self.first) - span + 1, 0))
+        return at[self.paragraph[at] == self.paragraph[at + span - 1]]
+
+    def scores(self, table: np.ndarray, bias: np.ndarray, at: np.ndarray | None = None, span: int = 1) -> np.ndarray:
+        """Mean of the weights of a window's events, times the root of their number, plus bias."""
         if not len(self.first):
             return np.zeros((0, len(bias)))
-        sums = np.add.reduceat(table[self.dims[:, 0]] + table[self.dims[:, 1]], self.first, axis=0)
-        return sums / np.sqrt(2.0 * self.n)[:, None] + bias
+        at = np.arange(len(self.first)) if at is None else at
+        if not hasattr(self, "sums") or self.table is not table:
+            lines = np.add.reduceat(table[self.dims[:, 0]] + table[self.dims[:, 1]], self.first, axis=0)
+            self.sums = np.concatenate((np.zeros((1, len(bias))), np.cumsum(lines, axis=0, dtype=np.float64)))
+            self.total, self.table = np.concatenate(([0], np.cumsum(self.n))), table
+        n = self.total[at + span] - self.total[at]
+        return (self.sums[at + span] - self.sums[at]) / np.sqrt(2.0 * n)[:, None] + bias
+
+    def words(self, i: int, span: int = 1) -> list[int]:
+        return self.hash[self.first[i] : self.first[i + span - 1] + self.n[i + span - 1]].tolist()
 
-    def words(self, i: int) -> list[int]:
-        return self.hash[self.first[i] : self.first[i] + self.n[i]].tolist()
+    def lead(self, i: int) -> list[int]:
+        """The three words of the paragraph before line i."""
+        if i == 0 or self.paragraph[i - 1] != self.paragraph[i]:
+            return []
+        return self.hash[max(self.first[i] - 3, self.first[i - 1]) : self.first[i]].tolist()
 
 
 class Model:
     def __init__(self, table: np.ndarray, bias: np.ndarray, temperature: float) -> None:
         self.table, self.bias, self.temperature = table, bias, temperature
-        texts = {f: [t.encode() for t in ts] for f, ts in TEMPLATES.items()}
-        self.words = {f: [_paragraphs(ts).words(i) for i in range(len(ts))] for f, ts in texts.items()}
+        hashed = lambda ts: [p.words(i) for p in [_paragraphs([t.encode() for t in ts])] for i in range(len(ts))]
+        self.words = {f: hashed(ts) for f, ts in TEMPLATES.items()}
         self.masks = {f: [_masks(w) for w in ws] for f, ws in self.words.items()}
+        self.telling = {f: [set(hashed([" ".join(_telling(t)) or "-"])[0]) if _telling(t) else set() for t in ts] for f, ts in TEMPLATES.items()}
+        self.strangers = [(w, _masks(w)) for w in hashed(STRANGERS)]
+        self.denials = set(hashed([" ".join(DENIALS)])[0])
 
-    def probabilities(self, p: Paragraphs) -> np.ndarray:
-        z = p.scores(self.table, self.bias) / self.temperature
+    def probabilities(self, p: Paragraphs, at: np.ndarray | None = None, span: int = 1) -> np.ndarray:
+        z = p.scores(self.table, self.bias, at, span) / self.temperature
         z = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
         return z / z.sum(1, keepdims=True) if len(z) else z
 
-    def shared(self, family: str, words: list[int]) -> float:
-        """Largest share of a template's words that the paragraph holds in order."""
-        return max(_lcs(w, m, words) / len(w) for w, m in zip(self.words[family], self.masks[family], strict=True))
+    def confirms(self, family: str, words: list[int], lead: list[int]) -> bool:
+        """Whether a template of the family shares enough words in order with the window, and nothing speaks against it."""
+        held, denied = set(words), sum(x in self.denials for x in [*lead, *words])
+        best = 0.0
+        for w, m, telling in zip(self.words[family], self.masks[family], self.telling[family], strict=True):
+            if denied > sum(x in self.denials for x in w) or 2 * len(telling & held) < len(telling):
+                continue
+            best = max(best, _lcs(w, m, words) / len(w))
+        return best >= SHARED and all(_lcs(w, m, words) / len(w) < best for w, m in self.strangers)
+
+
+def _telling(template: str) -> list[str]:
+    """The template's words that few templates have: names of licences, not what all notices say."""
+    split = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    every = [set(split(t)) for ts in TEMPLATES.values() for t in ts] + [set(split(t)) for t in STRANGERS]
+    return [w for w in dict.fromkeys(split(template)) if sum(w in x for x in every) <= 3 and len(w) > 1]
 
 
 def _paragraphs(texts: list[bytes]) -> Paragraphs:
@@ -112,18 +160,45 @@ def _variations(seed: int) -> tuple[list[bytes], list[int]]:
     return texts, labels
 
 
+def _resembles(model: Model, line: bytes, close: set[int]) -> bool:
+    """Whether a line of the corpus holds a template, so that it mustn't train the unknown class."""
+    p = _paragraphs([line])
+    words = p.words(0) if len(p.first) else []
+    return bool(close & set(words)) and any(model.confirms(f, words, []) for f in TEMPLATES)
+
+
+def _unknown(seed: int) -> list[bytes]:
+    """Notices of no family: other licences, templates with strange words for the telling ones, and denials."""
+    rng = np.random.default_rng(seed)
+    out = list(STRANGERS[seed % 2 :: 2]) * 8
+    for ts in TEMPLATES.values():
+        for t in ts:
+            telling = set(_telling(t))
+            for v in range(6):
+                words = [f"z{rng.integers(1 << 30)}" if "".join(c for c in w.lower() if c.isalnum()) in telling or any(x in telling for x in w.lower().replace("-", " ").replace(".", " ").split()) else w for w in t.split()]
+                out.append(" ".join(words))
+                if v < 2:
+                    cut = int(rng.integers(0, max(1, min(4, len(t.split())))))
+                    out.append(" ".join([*t.split()[:cut], DENIALS[v], *t.split()[cut:]]))
+    return [t.encode() for t in out]
+
+
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, rounds: int = 150) -> Model:
     total = docs.count()
-    share = min(1.0, sample / max(1, total))
+    share = min(1.0, 1.2 * sample / max(1, total))
     h = F.shiftrightunsigned(F.xxhash64(F.lit(31), docs[id_col], docs[text_col]), 1)
-    few = docs.where(h < F.lit(min((1 << 63) - 1, int(share * 2**63)))).select(docs[text_col].cast("string").alias("t")).limit(sample).toArrow()["t"].to_pylist()
-    plain = [line.encode() for t in few if t for line in t.split("\n") if line.strip() and not any(w in line.lower() for w in ("licen", "copyright", "spdx", "rights reserved"))]
+    few = docs.where(h < F.lit(min((1 << 63) - 1, int(share * 2**63)))).orderBy(h, docs[id_col]).select(docs[text_col].cast("string").alias("t")).limit(sample).toArrow()["t"].to_pylist()  # the same ones in every run
+    lines = [line.encode() for t in few if t for line in t.split("\n") if line.strip()]
+    blank = Model(np.zeros((DIMS, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES)), 1.0)
+    close = {x for ws in blank.telling.values() for t in ws for x in t}
+    plain = [x for x in lines if not _resembles(blank, x, close)]
     parts = []
     for seed, own in ((1, plain[::2]), (2, plain[1::2])):
         texts, labels = _variations(seed)
-        p = _paragraphs(texts + own)
-        # Paragraphs without a word vanish; their rows say which label each has.
-        parts.append((p, np.array(labels + [len(FAMILIES) - 1] * len(own))[p.row]))
+        others = _unknown(seed) + own
+        p = _paragraphs(texts + others)
+        # Lines without a word vanish; their rows say which label each has.
+        parts.append((p, np.array(labels + [len(FAMILIES) - 1] * len(others))[p.row]))
     p, y = parts[0]
     k = len(FAMILIES)
     table, bias = np.zeros((DIMS, k), np.float32), np.zeros(k)
@@ -160,7 +235,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
 
 
 def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, license (the most probable confirmed family or null), score, licenses, n_paragraphs."""
+    """One row per document: doc_id, license (the most probable confirmed family or null), score, licenses, and
+    n_paragraphs (paragraphs with a notice, once for each family)."""
     box = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x families numbers
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +244,21 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for a, b, data, offsets in bs.slices(batch.column(1), bs.SLICE // 2):
                 p = Paragraphs(data, offsets)
-                prob = m.probabilities(p)
                 found: list[dict[str, float]] = [{} for _ in range(b - a)]
+                seen: set[tuple[int, str]] = set()  # paragraphs and families that are settled
                 n = np.zeros(b - a, np.int64)
-                for i in np.flatnonzero((prob.argmax(1) < len(FAMILIES) - 1) & (prob.max(1) >= CONFIDENT)) if len(prob) else ():
-                    family, value = FAMILIES[int(prob[i].argmax())], float(prob[i].max())
-                    if m.shared(family, p.words(i)) >= SHARED:
-                        r = int(p.row[i])
-                        n[r] += 1
+                for span in SPANS:
+                    at = p.windows(span)
+                    prob = m.probabilities(p, at, span)
+                    if not len(prob):
+                        break
+                    for k in np.flatnonzero((prob.argmax(1) < len(FAMILIES) - 1) & (prob.max(1) >= CONFIDENT)):
+                        i, family, value = int(at[k]), FAMILIES[int(prob[k].argmax())], float(prob[k].max())
+                        r, key = int(p.row[i]), (int(p.paragraph[i]), family)
+                        if value <= found[r].get(family, 0.0) and key in seen or not m.confirms(family, p.words(i, span), p.lead(i)):
+                            continue
+                        n[r] += key not in seen
+                        seen.add(key)
                         found[r][family] = max(value, found[r].get(family, 0.0))
                 best = [min(f, key=lambda x: (-f[x], x)) if f else None for f in found]
                 yield pa.RecordBatch.from_arrays(
