@@ -9,8 +9,9 @@ grouped by 128-bit hash. Of pairs as of chunks, each later one is compared with
 by (doc_id, place) stays.
 
 Text is shuffled by document only, and of repeated chunks' bytes each once. Defined results: a null text stays null; an
-empty one stays empty; rows with a null id are left alone and count for none; rows of one id are taken to hold one text
-and are treated alike; lines part at line feeds only.
+empty one stays empty; rows with a null id are left alone and count for none; rows that repeat an id and a text are treated
+alike, rows of one id with other texts each by its own; ids must be integers or null, others raise TypeError; lines part
+at line feeds only.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm import bytescan as bs
-from corpusforge.llm import scratch
+from corpusforge.llm import scratch, units
 
 MEAN_LINES = 4  # a power of two: a boundary falls after one line in so many
 MIN_LINES = 2
@@ -94,39 +95,53 @@ def chunk_rows(text: DataFrame, kind: type = Chunks) -> DataFrame:
 
 
 def chunk_bytes(marked: DataFrame, kind: type = Chunks) -> DataFrame:
-    """(doc_id, text, ks) -> doc_id, k, body of the chunks in ks."""
+    """(doc_id, text, ks) -> doc_id, k, h1, body of the chunks (k, h1) in ks that the text has."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in bs.slices(batch.column(1)):
                 c = kind(data, offsets)
-                ids, ks, body = [], [], []
+                ids, ks, hs, body = [], [], [], []
                 for r, (ident, wanted) in enumerate(zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), strict=True)):
-                    for k in wanted:
-                        i = c.base[r] + k
+                    for k, h1, i in held(c, r, wanted):
                         ids.append(ident)
                         ks.append(k)
+                        hs.append(h1)
                         body.append(data[c.start[i] : c.trimmed[i]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(body, pa.binary())], ["doc_id", "k", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(hs, pa.int64()), pa.array(body, pa.binary())], ["doc_id", "k", "h1", "body"])
 
-    return marked.mapInArrow(scan, "doc_id long, k long, body binary")
+    return marked.mapInArrow(scan, "doc_id long, k long, h1 long, body binary")
+
+
+def held(c: Chunks | Pairs, row: int, wanted: list[dict]) -> Iterator[tuple[int, int, int]]:
+    """(k, h1, index) of the wanted chunks that the row has: another text of the same id may have other ones."""
+    stop = c.base[row + 1] if row + 1 < len(c.base) else len(c.row)
+    for x in wanted:
+        i = int(c.base[row]) + x["k"]
+        if i < stop and int(c.hashes[0][i].view(np.int64)) == x["h1"]:
+            yield x["k"], x["h1"], i
 
 
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, kind: type = Chunks) -> DataFrame:
     """(id, ks): for each document the numbers of its chunks that equal an earlier one."""
+    units.integer_ids(docs, id_col)
     text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = scratch.cut(chunk_rows(text, kind), "chunks")
     # What joins text grows with the corpus, so it is never broadcast, even where a small one would fit.
     place = F.struct("doc_id", "k")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
+    # Written before it is joined, so that the join's sides can be split where a chunk has very many copies.
+    spans = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = scratch.cut(spans.where("first <> last").select("h1", "h2", "first"), "chunks-first")
     shared = scratch.cut(rows.join(firsts, ["h1", "h2"]).distinct(), "chunks-shared")
-    wanted = shared.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+    wanted = shared.groupBy("doc_id").agg(F.collect_set(F.struct("k", "h1")).alias("ks"))
     bodies = scratch.cut(chunk_bytes(text.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "ks"), kind).distinct(), "chunks-bytes")
     scratch.free_shuffles(docs.sparkSession)
-    own = shared.where(F.struct("doc_id", "k") != F.col("first")).join(bodies.hint("merge"), ["doc_id", "k"])
-    lead = shared.where(F.struct("doc_id", "k") == F.col("first")).join(bodies.hint("merge"), ["doc_id", "k"]).select("h1", "h2", F.col("body").alias("first_body"))
+    own = shared.where(F.struct("doc_id", "k") != F.col("first")).join(bodies.hint("merge"), ["doc_id", "k", "h1"])
+    lead = shared.where(F.struct("doc_id", "k") == F.col("first")).join(bodies.hint("merge"), ["doc_id", "k", "h1"]).select("h1", "h2", F.col("body").alias("first_body"))
     equal = own.join(lead.hint("merge"), ["h1", "h2"]).where("body = first_body")
-    return scratch.cut(equal.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("k").alias("ks")), "chunks-equal")
+    out = scratch.cut(equal.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("k", "h1")).alias("ks")), "chunks-equal")
+    scratch.forget(rows, firsts, shared, bodies)
+    return out
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", report: bool = False, kind: type = Chunks) -> DataFrame:
@@ -146,13 +161,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 for r, ks in enumerate(lists):
                     text = data[offsets[r] : offsets[r + 1]]
                     if ks:
-                        keep = np.ones(len(text), bool)
-                        for k in ks:
-                            i = c.base[r] + k
+                        keep, mine = np.ones(len(text), bool), list(held(c, r, ks))
+                        for _, _, i in mine:
                             keep[c.start[i] - offsets[r] : c.end[i] - offsets[r]] = False
                         text = text[keep]
                     texts.append(text.tobytes())
-                    removed.append(len(ks or []))
+                    removed.append(len(mine) if ks else 0)
             null = np.asarray(column.is_null())
             new = pa.array([None if z else t for t, z in zip(texts, null, strict=True)], pa.binary()).cast(batch.schema.field(at).type)
             out = [new if i == at else batch.column(i) for i in range(len(names)) if i != ks_at]
