@@ -34,7 +34,7 @@ TELLING = 0.6  # an item's rarest words, of at least that share of its length, t
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.65, 0.6  # shares of words in the common subsequence
 MIN_ITEM = 8
 ITEM_BLOCK = 512
-MAX_ITEM_BYTES = 64 << 20  # of one pass; a larger benchmark takes several passes
+MAX_ITEM_BYTES = 8 << 20  # of one pass, whose lists and masks take some 20 times that; a larger benchmark takes several passes
 #: Letters fold to lower case, longer characters stay, everything else parts words.
 FOLD = np.full(256, 32, np.uint8)
 FOLD[128:] = np.arange(128, 256)
@@ -330,9 +330,9 @@ def _passes(benchmark: DataFrame, item_col: str, text_col: str, idf: np.ndarray,
     yield Items(ids, texts, idf, basis)
 
 
-def _hits(items: Items, column: pa.Array) -> tuple[np.ndarray, list, np.ndarray]:
-    """Number of items, best item and best share by row of the batch."""
-    n, item, share = np.zeros(len(column), np.int64), [None] * len(column), np.zeros(len(column))
+def _hits(items: Items, column: pa.Array, item: list, share: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+    """Number of items, best item and best share by row of the batch, given the best ones so far."""
+    n, share = np.zeros(len(column), np.int64), share.copy()
     for a, _, data, offsets in bs.slices(column, SLICE):
         for row, g, value in items.matches(data, offsets):
             r = a + row
@@ -344,26 +344,22 @@ def _hits(items: Items, column: pa.Array) -> tuple[np.ndarray, list, np.ndarray]
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, item_id (the best match) and share."""
-    spark = docs.sparkSession
-    text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    text = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     idf, basis = latent_basis(text.select("text"))
-    parts = []
+    # Each part of the benchmark is a pass over the same rows that adds to what the ones before found.
+    out = text.withColumns({"n_items": F.lit(0).cast("long"), "item_id": F.lit(None).cast("long"), "share": F.lit(0.0)})
+    names = ["doc_id", "text", "n_items", "item_id", "share"]
     for items in _passes(benchmark, item_col, item_text_col, idf, basis):
         box = spark.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, item, share = _hits(box.value, batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n > 0), pa.array(n), pa.array(item, pa.int64()), pa.array(share)], ["doc_id", "contaminated", "n_items", "item_id", "share"])
+                n, item, share = _hits(box.value, batch.column(1), batch.column(3).to_pylist(), np.array(batch.column(4), float))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.asarray(batch.column(2)) + n), pa.array(item, pa.int64()), pa.array(share)], names)
 
-        parts.append(text.mapInArrow(scan, "doc_id long, contaminated boolean, n_items long, item_id long, share double"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    best = F.max(F.struct("share", (-F.col("item_id")).alias("item")))
-    return every.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), (-best["item"]).alias("item_id"), F.max("share").alias("share"))
+        out = out.mapInArrow(scan, f"doc_id {kind}, text string, n_items long, item_id long, share double")
+    return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "share")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -376,7 +372,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
 
         def keep(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(_hits(box.value, batch.column(at))[0] == 0, pa.bool_()))
+                yield batch.filter(pa.array(_hits(box.value, batch.column(at), [None] * batch.num_rows, np.zeros(batch.num_rows))[0] == 0, pa.bool_()))
 
         out = out.mapInArrow(keep, docs.schema)
     return out
