@@ -208,7 +208,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
                 yield pa.RecordBatch.from_arrays([lists(dim, pa.int32()), lists(val, pa.float32()), pa.array(_posterior(seen.votes(), prior, table), pa.float64())], ["dim", "val", "good"])
 
     share = min(1.0, sample / max(1.0, n.sum()))
-    few = text.where(F.shiftrightunsigned(F.xxhash64(F.lit(29), "id", "text"), 1) < F.lit(min((1 << 63) - 1, int(share * 2**63)))).limit(sample)
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(29), "id", "text"), 1)
+    few = text.where(h < F.lit(min((1 << 63) - 1, int(1.2 * share * 2**63)))).orderBy(h, "id").limit(sample)  # the same ones in every run
     got = few.select("text").mapInArrow(features, "dim array<int>, val array<float>, good double").toArrow()
     rows = [(np.array(d, np.int64), np.array(v, np.float64)) for d, v in zip(got["dim"].to_pylist(), got["val"].to_pylist(), strict=True)]
     return Model(prior, table, *_fit(rows, got["good"].to_numpy().astype(float)))
