@@ -488,3 +488,54 @@ def test_unit_numbers_are_of_their_bucket(spark):
         some = [next(numbers) for _ in range(20)]
         found = spark.createDataFrame([(x,) for x in some], "x long").selectExpr(f"pmod(hash(x), {buckets}) AS b").distinct().collect()
         assert [r.b for r in found] == [task % buckets] and len(set(some)) == 20
+
+
+# notices as they stand in files
+
+def test_wrapped_strange_and_denied_notices(spark, corpus):
+    import textwrap
+
+    notice = {f: licenses.TEMPLATES[f][k] for f, k in (("mit", 2), ("bsd", 0), ("gpl", 1), ("isc", 1))}
+    want = {f"{f} {w}": (textwrap.fill(t, w), f) for f, t in notice.items() for w in (40, 60, 500)}
+    want |= {f"{f} amid": ("words that stand before it\n" + textwrap.fill(t, 60) + "\nand closing words after it", f) for f, t in notice.items()}
+    strange = ["Licensed under the EUPL, Version 1.2 or later", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the Frobnicate License, Version 7.0.", "Released under the Quux License.", "This work is not licensed under the MIT License.", "This work is not\nlicensed under the MIT License.", "the driver's license was lost"]
+    want |= {s: (s, None) for s in strange}
+    names = list(want)
+    frame = spark.createDataFrame([(i, want[n][0]) for i, n in enumerate(names)], "doc_id long, text string")
+    model = licenses.train(corpus.select("doc_id", "text"))
+    got = {names[r.doc_id]: r.license for r in licenses.scan(frame, model).collect()}
+    assert got == {n: x[1] for n, x in want.items()}
+
+
+def test_window_scores_are_those_of_their_lines():
+    p = licenses._paragraphs([b"one two three\nfour five\n\nsix seven\neight"])
+    assert p.windows(2).tolist() == [0, 2] and p.windows(3).tolist() == []
+    table = np.random.default_rng(1).standard_normal((licenses.DIMS, 3)).astype(np.float32)
+    got = p.scores(table, np.zeros(3), p.windows(2), 2)
+    lines = [sum(table[d].sum(0) for d in p.dims[p.first[i] : p.first[i] + p.n[i]]) for i in range(4)]
+    assert np.allclose(got, [(lines[0] + lines[1]) / np.sqrt(10), (lines[2] + lines[3]) / np.sqrt(6)], atol=1e-4)
+
+
+# clashing ids, several parts of a benchmark
+
+def test_lines_of_clashing_ids(spark):
+    long = "\n".join(f"line {i} of the first text" for i in range(40))
+    data = [(1, long), (1, "short"), (2, long), (2, long + "\nand more\nand yet more"), (None, long)]
+    for kind in (lines.Chunks, lines.Pairs):
+        got = Counter((r.doc_id, r.text) for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), kind=kind).collect())
+        assert got[1, long] == 1 and got[1, "short"] == 1 and got[None, long] == 1
+        assert sum(got.values()) == 5 and all(len(t) < len(long) for (i, t), _ in got.items() if i == 2)
+    with pytest.raises(TypeError, match="integers"):
+        lines.dedup_lines(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_benchmark_in_parts_gives_a_row_a_row(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, prose(rng, 20)) for i in range(6)]
+    docs = [(1, prose(rng, 30) + " " + items[0][1]), (1, prose(rng, 30) + " " + items[0][1]), (None, items[5][1]), (2, items[4][1] + " " + items[1][1]), (3, prose(rng, 40)), (4, None)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontamination.contamination(frame, bench).collect()))
+    monkeypatch.setattr(decontamination, "MAX_ITEM_BYTES", 200)
+    parts = decontamination.contamination(frame, bench).collect()
+    assert sorted(map(str, parts)) == whole and len(parts) == 6
+    assert sorted((r.doc_id or -1, r.n_items, r.item_id) for r in parts if r.contaminated) == [(-1, 1, 5), (1, 1, 0), (1, 1, 0), (2, 2, 1)]
