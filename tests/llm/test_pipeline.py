@@ -1,5 +1,5 @@
 import pytest
-from corpus import rows
+from corpus import none, rows
 
 import corpus_pipeline
 from corpusforge.llm import decontamination, lines, neardup, quality_classifier
@@ -42,3 +42,12 @@ def test_stages(spark, sf_dir, tmp_path):
             assert {r.doc_id for r in kept[name]} <= {r.doc_id for r in kept["decontaminate"]}
             assert docs.where("copies < 1 or copies > 3").count() == 0
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "copies").collect())) == sorted(map(tuple, docs.select("doc_id", "copies").collect()))
+
+
+def test_stages_of_an_empty_table_and_of_nulls(spark, sf_dir):
+    for data in (none(spark), spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, 0), (2, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, data, sf_dir)
+            if name != "mix":
+                assert got.columns == data.columns
+            assert got.count() == (0 if name in ("quality", "mix") else data.count())
