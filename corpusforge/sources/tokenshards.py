@@ -214,7 +214,7 @@ def load_state(folder: str, expected: dict) -> dict:
         state = {"complete": False} | json.load(f)
     counts = {k: state.get(k) for k in ("next_shard", "completed_docs", "doc_token_offset")}
     kept = state.get("metadata") or {}
-    faults = [f"{k} must be a count, not {v!r}" for k, v in counts.items() if not isinstance(v, int) or v < 0]
+    faults = [f"{k} is negative or no number: {v!r}" for k, v in counts.items() if not isinstance(v, int) or v < 0]
     faults += [f"{k} was {kept.get(k)!r}, now {v!r}" for k, v in sorted(expected.items()) if kept.get(k) != v]
     faults += ["the run is complete"] * bool(state["complete"])
     if faults:
