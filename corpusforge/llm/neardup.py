@@ -207,28 +207,32 @@ def strays(members: DataFrame, percent: int) -> DataFrame:
     A link of x and y needs percent / (100 + percent) of |x| + |y| in common; within their leader that is `same` of
     either at most, so what lacks, `need`, lies outside it. Where nothing lacks, bands of sizes that suffice meet. All
     others must share `need` shingles outside the leader, so they meet by the rarest of those that a second component
-    of the group has too, all but need - 1; most members haven't got as many and drop out. low: the group's least size.
+    of the group has too, all but need - 1; most members haven't got as many and drop out. From their first common one
+    on, both must still have as many as the two of them need. low: the group's least size.
     """
     p = float(percent)
     band = lambda n: F.floor(F.log(n) / math.log(1.03)).cast("int")
     least, apart = F.ceil(F.lit(p / 100) * F.col("na") - 1e-9), F.col("own") != F.col("lead_own")
     most = F.floor(F.lit((100 + p) / p) * F.col("same") - F.col("na") + 1e-9)  # the largest partner that sharing `same` can link
     need = F.greatest(F.lit(1), F.ceil(F.lit(p / (100 + p)) * (F.col("na") + F.greatest(least, "low")) - 1e-9) - F.col("same"))
-    near = scratch.cut(members.select("a", "b", "na", "own", apart.alias("apart"), least.alias("least"), most.alias("most"), need.alias("need"), "out"), "neardup-near")
+    near = scratch.cut(members.select("a", "b", "na", "same", "own", apart.alias("apart"), least.alias("least"), most.alias("most"), need.alias("need"), "out"), "neardup-near")
     side = lambda x, *names: [F.col(c).alias(x + c) for c in names]
     able = near.where("most >= least")
     y = able.where("apart").select("b", *side("y", "a", "na", "own", "least", "most"), F.explode(F.sequence(band(F.col("least")), band(F.col("most")))).alias("band"))
     x = able.select("b", *side("x", "a", "na", "own", "least", "most"), band(F.col("na")).alias("band"))
     by_size = y.join(x, (y["b"] == x["b"]) & (y["band"] == x["band"]) & (F.col("yown") != F.col("xown")) & F.col("xna").between(F.col("yleast"), F.col("ymost")) & F.col("yna").between(F.col("xleast"), F.col("xmost")))
-    outside = scratch.cut(near.where(F.size("out") >= F.col("need")).select("a", "b", "own", "apart", "need", F.explode("out").alias("s")), "neardup-outside")
+    outside = scratch.cut(near.where(F.size("out") >= F.col("need")).select("a", "b", "na", "same", "own", "apart", "need", F.explode("out").alias("s")), "neardup-outside")
     tally = outside.groupBy("b", "s").agg(F.count(F.lit(1)).alias("df"), F.max("apart").alias("some"), F.min("own").alias("first"), F.max("own").alias("last"))
     shared = scratch.cut(tally.where("some AND first <> last").select("b", "s", "df"), "neardup-shared")
     member = W.partitionBy("a", "b")
     placed = outside.join(shared, ["b", "s"]).withColumn("m", F.count(F.lit(1)).over(member)).withColumn("i", F.row_number().over(member.orderBy("df", "s")))
-    meet = scratch.cut(placed.where("i <= m - need + 1").select("a", "b", "s", "own", "apart"), "neardup-meet")
-    left = meet.where("apart").select("b", "s", *side("y", "a", "own"))
-    right = meet.select("b", "s", *side("x", "a", "own"))
-    by_shingle = left.join(right, (left["b"] == right["b"]) & (left["s"] == right["s"]) & (F.col("yown") != F.col("xown")))
+    rest = (F.col("m") - F.col("i") + 1).alias("rest")  # shared shingles from this one on
+    meet = scratch.cut(placed.where("i <= m - need + 1").select("a", "b", "s", "na", "same", "own", "apart", rest), "neardup-meet")
+    left = meet.where("apart").select("b", "s", *side("y", "a", "own", "na", "same", "rest"))
+    right = meet.select("b", "s", *side("x", "a", "own", "na", "same", "rest"))
+    lacks = F.ceil(F.lit(p / (100 + p)) * (F.col("yna") + F.col("xna")) - 1e-9) - F.least("ysame", "xsame")
+    fits = (F.col("yown") != F.col("xown")) & (F.least("yrest", "xrest") >= lacks) & (100 * F.least("yna", "xna") >= percent * F.greatest("yna", "xna"))
+    by_shingle = left.join(right, (left["b"] == right["b"]) & (left["s"] == right["s"]) & fits)
     both = by_size.select("xa", "ya").union(by_shingle.select("xa", "ya"))
     out = scratch.cut(both.select(F.least("xa", "ya").alias("a"), F.greatest("xa", "ya").alias("b")).distinct(), "neardup-rest")
     scratch.forget(near, outside, shared, meet)
