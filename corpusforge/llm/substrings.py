@@ -5,8 +5,8 @@ hold an equal anchor meet at it, and only places around anchors that repeat need
 each seed, over all windows that hold it: a window whose words also start earlier in the corpus is part of a match, and
 matching windows that overlap merge into maximal repeats, of WINDOW words at least.
 
-Order is (doc_id, start). Windows compare by 96 bits of two independent hashes of their words, which confuse two
-different windows with probability (windows around seeds)^2 / 2^97 in all. Defined results: null and empty texts have no
+Order is (doc_id, start). Windows compare by 80 bits of two independent hashes of their words, which confuse two
+different windows with probability (windows around seeds)^2 / 2^81 in all. Defined results: null and empty texts have no
 words; a null id orders before all others; rows with equal ids order as they lie in the table's units; ids must be
 integers or null, others raise TypeError; an empty table gives no rows.
 """
@@ -51,10 +51,10 @@ class Words:
         return zone[self.at]
 
     def hashes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits of the windows in some."""
+        """80 bits of the windows in some."""
         at = self.at[some]
         first, second = (r.of(at, at + self.size) for r in self.rolls)
-        return first, (second >> bs.U64(32)).astype(np.uint32)
+        return first, (second >> bs.U64(48)).astype(np.uint16)
 
 
 def _digest(data: np.ndarray, removed: np.ndarray | None, text: bool) -> tuple[str, str | None]:
@@ -108,7 +108,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     masks, n_asked = near.select("unit", "mask"), near.select(F.sum("asked")).first()[0] or 0
 
     def asked(unit: units.Unit, every: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """96 bits, document row and start of the windows in question of each slice."""
+        """80 bits, document row and start of the windows in question of each slice."""
         mask, k = np.unpackbits(np.frombuffer(unit.extra["mask"], np.uint8), count=sum(len(w.at) for _, w, _, _ in every)).astype(bool), 0
         for a, w, _, _ in every:
             some, k = np.flatnonzero(mask[k : k + len(w.at)]), k + len(w.at)

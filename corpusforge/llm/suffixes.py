@@ -9,8 +9,8 @@ is covered. Last the remaining suffixes are merged in: those from which a shift
 that still repeats are sorted by their first LENGTH bytes, and adjacent ones that agree are repeats.
 
 Order is that of fingerprints, not of bytes: only equal neighbours are asked for, and longer agreement than LENGTH
-changes nothing, so neither the text nor the rank of a unique suffix ever travels. Prefixes compare by 96 bits of two
-independent polynomials: two different ones agree with probability (suffixes merged)^2 / 2^97 in all. The triples of the
+changes nothing, so neither the text nor the rank of a unique suffix ever travels. Prefixes compare by 80 bits of two
+independent polynomials: two different ones agree with probability (suffixes merged)^2 / 2^81 in all. The triples of the
 classical cover modulo 3 would sample two suffixes of three; the cover modulo 133 samples 12 of 133.
 
 Defined results: null and empty texts have no bytes; a text shorter than the length is kept whole; matches never cross
@@ -66,7 +66,7 @@ def pairs(row: dict, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remaining(unit: units.Unit, hits: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each slice: first row, bytes, offsets, places of the suffixes to merge, and 96 bits of their prefixes."""
+    """Of each slice: first row, bytes, offsets, places of the suffixes to merge, and 80 bits of their prefixes."""
     for a, b, d, o in unit.slices():
         base = unit.offsets[a]
         mine = hits[(hits >= base) & (hits < unit.offsets[b])] - base
@@ -79,9 +79,9 @@ def remaining(unit: units.Unit, hits: np.ndarray, length: int) -> Iterator[tuple
             at = np.flatnonzero(near & (np.cumsum(whole)[:-1] > 0))
         if len(at):
             first, second = (bs.Rolling(table[d]).of(at, at + length) for table in bs.BYTE_VALUES)
-            yield a, d, o, at, first, (second >> bs.U64(32)).astype(np.uint32)
+            yield a, d, o, at, first, (second >> bs.U64(48)).astype(np.uint16)
         else:
-            yield a, d, o, at, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            yield a, d, o, at, np.zeros(0, np.uint64), np.zeros(0, np.uint16)
 
 
 def _named(number: int, places: np.ndarray, hashes: np.ndarray, replies: list | None) -> pa.RecordBatch | None:

@@ -179,7 +179,7 @@ def first_of(hashes: np.ndarray, more: np.ndarray, *keys: np.ndarray) -> tuple[n
     return order, new
 
 
-#: What a unit sends: hashes, 32 more bits of each or none, keys of which the least comes first (with more bits) or none.
+#: What a unit sends: hashes, 16 more bits of each or none, keys of which the least comes first (with more bits) or none.
 Sent = tuple[np.ndarray, np.ndarray | None, np.ndarray | None]
 
 
@@ -229,7 +229,7 @@ def exchange(sources: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple
         flag = np.zeros(len(h), bool)
         ranks: list = [None] * len(lists)
         stop = np.cumsum(size)
-        more = None if table["more"].null_count else np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["more"]])
+        more = None if table["more"].null_count else np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table["more"]])
         if table["keys"].null_count:
             order, new, _, _ = distinct(h, more)
             start = np.flatnonzero(new)
