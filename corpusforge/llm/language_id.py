@@ -2,11 +2,12 @@
 
 A language is a smoothed distribution over hashed byte trigrams of case-folded text. A document is cut into segments of
 a few words; expectation-maximisation over their likelihoods estimates the share of each language in the document, and
-the set of languages is the one of the best penalised likelihood. Counting and inference are single passes without a
+the set of languages grows by the next likeliest one while the penalised likelihood improves. Counting and inference are single passes without a
 shuffle of text; the model has languages x BUCKETS numbers whatever the corpus.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; a table without labelled rows predicts
-`und` for all; rows without a language aren't learnt from but are predicted; ties go to the first language by name.
+`und` for all, and `und` has no languages; rows without a language aren't learnt from but are predicted; ties go to the
+first language by name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from corpusforge.llm import bytescan as bs
 BUCKETS = 1 << 15
 SEGMENT = 4  # words
 MAX_LANGUAGES = 1000  # an error beyond it, never a cut: the model must fit an executor
-MAX_SET = 3  # languages in one document
 PENALTY = 2.0  # times log(segments) for each language more
 UND = "und"
 #: Letters and bytes of longer characters stay; other ASCII turns into space, so marks and digits say nothing.
@@ -92,13 +92,16 @@ def mixture(likely: np.ndarray, start: np.ndarray, n: np.ndarray, allowed: np.nd
     return share, np.add.reduceat(np.log(total), start)
 
 
-def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each document the best language (-1: none) and its share in the best set of languages."""
+def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document the best language (-1: none), its share in the best set of languages, and the shares of all.
+
+    The shares (documents x languages) are 0 outside the set.
+    """
     docs, k = len(offsets) - 1, model.shape[1]
-    best, score = np.full(docs, -1), np.zeros(docs)
+    best, score, shares = np.full(docs, -1), np.zeros(docs), np.zeros((docs, k))
     code, at = trigrams(data, offsets)
     if k == 0 or len(code) == 0:
-        return best, score
+        return best, score, shares
     first, _, before = bs.word_bounds(data, offsets)
     # A segment starts at every SEGMENT-th word of a document.
     number = np.arange(len(first)) - np.repeat(before[:-1], np.diff(before))
@@ -111,22 +114,28 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.
     used, start, n = np.unique(owner, return_index=True, return_counts=True)
     share, _ = mixture(likely, start, n, np.ones((len(used), k)), 5)
     order = np.argsort(-share, axis=1, kind="stable")
-    top, value = np.full(len(used), -np.inf), np.zeros((len(used), 2))
-    for size in range(1, min(k, MAX_SET) + 1):
-        allowed = np.zeros((len(used), k))
-        np.put_along_axis(allowed, order[:, :size], 1.0, 1)
-        part, fit = mixture(likely, start, n, allowed, 0 if size == 1 else 4)
-        fit = fit - PENALTY * size * np.log(n + 1)
-        lead = part.argmax(1)
-        better = fit > top
-        top[better] = fit[better]
-        value[better] = np.stack([lead, part[np.arange(len(used)), lead]], 1)[better]
-    best[used], score[used] = value[:, 0].astype(int), np.clip(value[:, 1], 0.0, 1.0)
-    return best, score
+    top, found = np.full(len(used), -np.inf), np.zeros((len(used), k))
+    live = np.arange(len(used))  # documents whose set still grows, each judged by itself
+    for size in range(1, k + 1):
+        allowed = np.zeros((len(live), k))
+        np.put_along_axis(allowed, order[live, :size], 1.0, 1)
+        mine = np.zeros(len(used), bool)
+        mine[live] = True
+        part, fit = mixture(likely[np.repeat(mine, n)], np.cumsum(n[live]) - n[live], n[live], allowed, 0 if size == 1 else 4)
+        fit = fit - PENALTY * size * np.log(n[live] + 1)
+        better = fit > top[live]
+        live, part, fit = live[better], part[better], fit[better]
+        if not len(live):
+            break
+        top[live], found[live] = fit, part
+    shares[used] = np.clip(found, 0.0, 1.0)
+    best[used] = found.argmax(1)
+    score[used] = shares[used].max(1)
+    return best, score, shares
 
 
 def identify(docs: DataFrame, names: list[str], model: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score."""
+    """One row per document: doc_id, lang_pred, score, langs and shares (the document's languages, the largest share first)."""
     box = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES numbers at most
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +143,19 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray, *, id_col: st
         for batch in batches:
             lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for a, b, data, offsets in bs.slices(batch.column(1)):
-                best, score = infer(data, offsets, box.value)
-                best = np.where(lettered[a:b], best, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(labels[best], pa.string()), pa.array(np.where(best < 0, 0.0, score), pa.float64())], ["doc_id", "lang_pred", "score"])
+                best, score, shares = infer(data, offsets, box.value)
+                best, shares = np.where(lettered[a:b], best, -1), shares * lettered[a:b, None]
+                row, lang = np.nonzero(shares)
+                order = np.lexsort((lang, -shares[row, lang], row))
+                row, lang = row[order], lang[order]
+                edge = pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edge, x) for x in (pa.array(labels[lang], pa.string()), pa.array(shares[row, lang], pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(labels[best], pa.string()), pa.array(np.where(best < 0, 0.0, score), pa.float64()), *lists], ["doc_id", "lang_pred", "score", "langs", "shares"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     letters = F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), letters.alias("lettered")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    columns = f"doc_id {kind}, lang_pred string, score double, langs array<string>, shares array<double>"
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), letters.alias("lettered")).mapInArrow(predict, columns)
 
 
 def held_out(ident) -> F.Column:
@@ -150,4 +165,4 @@ def held_out(ident) -> F.Column:
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names, model = learn(docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
-    return identify(docs, names, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(docs, names, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs", "shares")

@@ -222,8 +222,27 @@ def test_language_mixture(spark, corpus):
     names, model = language_id.learn(corpus.where("lang is not null and text is not null").select("text", "lang"))
     data = {r[0]: r[1] for r in rows()}
     text = (data[2] + " " + data[3][: len(data[2]) // 3]).encode()
-    best, score = language_id.infer(np.frombuffer(text, np.uint8), np.array([0, len(text)]), model)
+    best, score, shares = language_id.infer(np.frombuffer(text, np.uint8), np.array([0, len(text)]), model)
     assert names[best[0]] == "de" and 0.55 < score[0] < 0.95
+    assert shares[0, best[0]] == score[0] and abs(shares.sum() - 1) < 1e-6
+
+
+def test_language_sets(spark):
+    """A text of five languages gets all five and their proportions, whatever stands beside it in the table."""
+    alphabets = {"a": "abcd", "b": "efgh", "c": "ijkl", "d": "mnop", "e": "qrst", "f": "uvwx"}
+
+    def words(lang, n):
+        letters = alphabets[lang]
+        return " ".join("".join(letters[(i * 7 + j * 3 + i // 4) % 4] for j in range(4 + i % 3)) for i in range(n))
+
+    names, model = language_id.learn(spark.createDataFrame([(words(x, 400), x) for x in alphabets], "text string, lang string"))
+    mixed = " ".join(words(x, n) for x, n in zip("abcde", (200, 160, 120, 80, 40), strict=True))
+    data = [(1, mixed), (2, words("f", 50)), (3, None), (4, " 12 !"), (5, mixed)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), names, model).collect()}
+    assert got[1].langs == list("abcde") and got[1][1:] == got[5][1:]
+    assert all(abs(x - y) < 0.03 for x, y in zip(got[1].shares, (1 / 3, 4 / 15, 1 / 5, 2 / 15, 1 / 15), strict=True))
+    assert (got[2].langs, got[2].lang_pred) == (["f"], "f")
+    assert [(got[k].langs, got[k].shares, got[k].lang_pred, got[k].score) for k in (3, 4)] == [([], [], "und", 0.0)] * 2
 
 
 # op7
