@@ -82,7 +82,14 @@ class Tokens:
         """Sums of table[dim] over each passage."""
         if not len(self.words):
             return np.zeros((0, table.shape[1]), table.dtype)
-        sums = np.add.reduceat(table[self.dim], self.block_at, axis=0)
+        # Word by word of all blocks, which keeps the sums in the cache; places that a short block lacks point to a row of zeros.
+        place = np.full((len(self.block_at), BLOCK), DIMS)
+        block = self.block()
+        place[block, np.arange(len(block)) - self.block_at[block]] = self.dim
+        padded = np.concatenate((table, np.zeros_like(table[:1])))
+        sums = padded[place[:, 0]]
+        for i in range(1, BLOCK):
+            sums += padded[place[:, i]]
         sums = np.concatenate((np.zeros_like(sums[:1]), np.cumsum(sums, axis=0, dtype=np.float64)))
         return (sums[self.passage_end] - sums[self.passage]).astype(np.float32)
 
@@ -91,14 +98,8 @@ class Tokens:
         step = np.zeros((len(self.block_at) + 1, value.shape[1]))
         step[self.passage] += value  # starts and ends are distinct
         step[self.passage_end] -= value
-        by_block = np.cumsum(step, axis=0)[:-1].astype(np.float32)
-        block = np.searchsorted(self.block_at, np.arange(len(self.words)), "right") - 1
-        order = np.argsort(self.dim.astype(np.int16), kind="stable")
-        dim = self.dim[order]
-        edge = np.flatnonzero(np.concatenate((dim[:1] == dim[:1], dim[1:] != dim[:-1])))
-        out = np.zeros((DIMS, value.shape[1]))
-        out[dim[edge]] = np.add.reduceat(by_block[block[order]], edge, axis=0)
-        return out
+        by_block, block = np.ascontiguousarray(np.cumsum(step, axis=0)[:-1].T), self.block()
+        return np.stack([np.bincount(self.dim, column[block], DIMS) for column in by_block], 1)
 
 
 def _cells(total: np.ndarray) -> pa.RecordBatch:
@@ -241,9 +242,12 @@ class Items:
         use = np.flatnonzero(n[number])
         each = n[number[use]]
         cell = np.repeat(t.block()[use], each) * len(some) + item[bs.spread(first[number[use]], each)]
-        by_block = np.bincount(cell, minlength=len(t.block_at) * len(some)).reshape(len(t.block_at), len(some)).astype(np.int32)
-        sums = np.concatenate((np.zeros_like(by_block[:1]), np.cumsum(by_block, axis=0, dtype=np.int32)))
-        out = np.empty((len(t.passage), len(some)), np.int32)
+        by_block = np.bincount(cell, minlength=len(t.block_at) * len(some)).reshape(len(t.block_at), len(some))
+        # Running sums may wrap around; their differences don't, since a number holds all words of the widest surroundings.
+        kind = np.int16 if (2 * int(reach.max()) + BLOCKS) * BLOCK < 1 << 15 else np.int64
+        sums = np.zeros((len(by_block) + 1, len(some)), kind)
+        np.cumsum(by_block.astype(kind), axis=0, dtype=kind, out=sums[1:])
+        out = np.empty((len(t.passage), len(some)), kind)
         low, high = np.searchsorted(t.block_row, t.row), np.searchsorted(t.block_row, t.row, "right")
         for r in np.unique(reach):
             at = np.flatnonzero(reach == r)
@@ -281,12 +285,12 @@ class Items:
             some = range(lo, min(lo + ITEM_BLOCK, len(self.words)))
             size = np.array([len(self.words[j]) for j in some])
             need = np.array([_least(PARAPHRASE, n) for n in size])
-            count = np.zeros((len(some), len(self.vocabulary) + 1), np.int32)
-            for j in some:
-                np.add.at(count[j - lo], self.words[j], 1)
+            width = len(self.vocabulary) + 1
+            cell = np.repeat(np.arange(len(some)) * width, size) + np.concatenate([self.words[j] for j in some])
+            count = np.bincount(cell, minlength=len(some) * width).astype(np.int32).reshape(len(some), width)
             held = count > 0
             telling = self._tellings(t, number, some, -(-size // BLOCK))
-            enough, verbatim = self.need[lo : some.stop].T
+            enough, verbatim = self.need[lo : some.stop].T.astype(telling.dtype)
             reach = int(size.max())
             padded = np.concatenate((np.full(reach, len(self.vocabulary)), number, np.full(reach + BLOCK * BLOCKS, len(self.vocabulary))))
             for p0 in range(0, len(latent), 8192):
