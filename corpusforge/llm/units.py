@@ -1,7 +1,8 @@
 """Units of text and exchanges of their hashes.
 
 A unit is one row that holds the documents of a few megabytes. Units are written once, bucketed by their number, and
-stay where they are: what other units know about them comes to them by number. Hashes of a unit are sorted, made
+stay where they are: what other units know about them comes to them by number. A writing task deals its units to many
+buckets, so that no bucket, which one task reads, grows with the input's splits. Hashes of a unit are sorted, made
 distinct and sent to ranges of the hash order as packed arrays: at most one entry for each hash and unit, so that a
 passage that a third of all documents share costs one entry a unit, and a range's size follows the number of different
 hashes. Each range sorts what it got and answers each entry with a bit, or with its rank among the repeated ones.
@@ -10,6 +11,7 @@ Ranges are chosen by the size of the corpus, so none outgrows a task.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +30,8 @@ UNIT_BYTES = 4 << 20
 BUCKET_ITEMS = 300_000
 UNIT_SCHEMA = "unit long, ids array<long>, sizes binary, total long, body binary"
 MAX_BUCKETS = 100_000  # Spark's own default bound for bucketed tables
+#: Parquet looks at a group's size only after 100 rows, and a reader's batch holds up to a whole group; rows are megabytes.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.max": "1"}
 
 
 class Unit(NamedTuple):
@@ -88,6 +92,18 @@ def numbers(task: int, buckets: int) -> Iterator[int]:
         base += step
 
 
+def dealt(task: int, buckets: int) -> Iterator[int]:
+    """Unit numbers of a task in ascending order, of one bucket after another: a task's text may fill many buckets."""
+    first, base, step = int(task * 0.6180339887498949 % 1 * buckets), task << 32, max(1024, 8 * buckets)
+    for turn in itertools.count():
+        while True:
+            some = np.arange(base, base + step, dtype=np.int64)
+            base += step
+            if len(fits := some[_home(some, buckets) == (first + turn) % buckets]):
+                break
+        yield int(fits[0])
+
+
 def integer_ids(docs: DataFrame, id_col: str) -> None:
     kind = docs.schema[id_col].dataType.typeName()
     if kind not in ("byte", "short", "integer", "long"):
@@ -99,7 +115,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYT
     integer_ids(docs, id_col)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = numbers(TaskContext.get().partitionId(), buckets)
+        fresh = dealt(TaskContext.get().partitionId(), buckets)
         ids, sizes, parts, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -127,10 +143,11 @@ def stored(docs: DataFrame, id_col: str, text_col: str, name: str, unit_bytes: i
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     size = sum(x for x in sizes if x < 1 << 60)  # beyond that Spark says that it doesn't know
     # Fewer buckets than shuffle partitions, and Spark would rather move the bodies.
-    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (32 << 20))))
+    # A bucket is what a task holds at once, in the JVM and again in Python; text may take twice its bytes in the file.
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * size / (32 << 20))))
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{scratch.shared_dir(spark)}/{table}"
-    pack(docs, id_col, text_col, unit_bytes, buckets).write.option("path", path).option("compression", "zstd").bucketBy(buckets, "unit").saveAsTable(table)
+    pack(docs, id_col, text_col, unit_bytes, buckets).write.options(path=path, compression="zstd", **SMALL_GROUPS).bucketBy(buckets, "unit").saveAsTable(table)
     out = spark.table(table)
     out._corpusforge_path, out._corpusforge_table = path, table
     return out
