@@ -509,6 +509,16 @@ def test_unit_numbers_are_of_their_bucket(spark):
         assert [r.b for r in found] == [task % buckets] and len(set(some)) == 20
 
 
+def test_units_of_one_task_fill_many_buckets(spark):
+    frame = spark.createDataFrame([(i, "some words of a text " * 20) for i in range(60)], "doc_id long, text string").coalesce(1)
+    stored = units.stored(frame, "doc_id", "text", "dealt_units", 3000)
+    buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = stored.selectExpr("unit", f"pmod(hash(unit), {buckets}) AS b").collect()
+    assert len({r.unit for r in found}) == len(found) >= 8 and len({r.b for r in found}) == buckets
+    share = [sum(r.b == b for r in found) for b in range(buckets)]
+    assert max(share) - min(share) <= 1
+
+
 # notices as they stand in files
 
 def test_wrapped_strange_and_denied_notices(spark, corpus):
