@@ -1,16 +1,18 @@
 """Byte-pair vocabularies: training, encoding, eligibility, closure, selection, reachability, remapping.
 
-Counting runs on the cluster: pieces, their frequencies, pairs. What iterates merge by merge (training, closure, greedy
-selection) runs on the driver over distinct pieces or the merge list, whose sizes are bounded by parameters.
+Counting runs on the cluster: pieces, their frequencies, pairs. Training holds a bounded number of pieces on the driver;
+beyond it the executors count for it.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +21,9 @@ from corpusforge.functions import numeric, text
 from corpusforge.sources import scratch
 
 Merge = tuple[str, str]
-MAX_PIECES = 2_000_000
+Flat = tuple[np.ndarray, np.ndarray]
+#: Pieces that the driver trains on by itself, pieces it guesses from, merges it guesses at once, pieces of a block.
+MAX_PIECES, GUESS_PIECES, GUESS_MERGES, BLOCK_PIECES = 200_000, 100_000, 64, 100_000
 
 
 def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -96,12 +100,208 @@ def train(counts: list[tuple[str, int]], vocab_size: int, min_count: int = 2) ->
     return vocab, merges
 
 
+def _byte_ids() -> tuple[list[str], np.ndarray]:
+    """The names of the first 256 ids, and the id of each byte."""
+    alphabet = byte_alphabet()
+    names = sorted(alphabet.values())
+    place = {c: i for i, c in enumerate(names)}
+    return names, np.array([place[alphabet[b]] for b in range(256)], np.int32)
+
+
+def _flat(pieces: list[str], weights: list[int]) -> Flat:
+    """Symbols of all pieces one after another, -1 after each, and the pieces' weights."""
+    body = [x.encode() for x in pieces]
+    sizes = np.fromiter((len(x) + 1 for x in body), np.int64, len(body))
+    symbols = _byte_ids()[1][np.frombuffer(b"".join(x + b"\0" for x in body), np.uint8)]
+    symbols[np.cumsum(sizes) - 1] = -1
+    return symbols, np.asarray(weights, np.int64)
+
+
+def _hits(s: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
+    return np.flatnonzero((s[:-1] == pair[0]) & (s[1:] == pair[1]))
+
+
+def _merged(s: np.ndarray, pair: tuple[int, int], new: int, at: np.ndarray) -> np.ndarray:
+    """The pair's occurrences at the given places become the new symbol, from left to right."""
+    if pair[0] == pair[1] and len(at):  # of a run of equal symbols every other place
+        first = np.ones(len(at), bool)
+        first[1:] = np.diff(at) != 1
+        start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - start) % 2 == 0]
+    if not len(at):
+        return s
+    stay = np.ones(len(s), bool)
+    stay[at + 1] = False
+    s = s.copy()
+    s[at] = new
+    return s[stay]
+
+
+def _merge_all(s: np.ndarray, made: list[tuple[int, int]], first: int) -> np.ndarray:
+    for i, pair in enumerate(made):
+        s = _merged(s, pair, first + i, _hits(s, pair))
+    return s
+
+
+def _sums(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(len(code), 1), bool), code[1:] != code[:-1])))
+    return code[start], np.add.reduceat(n, start) if len(start) else n
+
+
+def _pairs(s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (left << 32 | right) of the adjacent pairs and the weight of each, an entry for each occurrence."""
+    each = np.repeat(w, np.diff(np.flatnonzero(s < 0), prepend=-1))
+    both = (s[:-1] >= 0) & (s[1:] >= 0)
+    return (s[:-1][both].astype(np.int64) << 32) | s[1:][both], each[:-1][both]
+
+
+def _change(s: np.ndarray, w: np.ndarray, pair: tuple[int, int], new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The merged symbols, and by how much the pairs' weights change: only pieces that hold the pair are counted."""
+    hit = _hits(s, pair)
+    if not len(hit):
+        return s, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.flatnonzero(s < 0)
+    piece = np.unique(np.searchsorted(ends, hit))
+    lo = np.where(piece > 0, ends[piece - 1] + 1, 0)
+    n = ends[piece] + 1 - lo
+    part = s[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    old, now = _pairs(part, w[piece]), _pairs(_merged(part, pair, new, _hits(part, pair)), w[piece])
+    code, total = _sums(np.concatenate((old[0], now[0])), np.concatenate((-old[1], now[1])))
+    return _merged(s, pair, new, hit), code[total != 0], total[total != 0]
+
+
+def _best(total: dict[int, int]) -> tuple[int, tuple[int, int]]:
+    """(weight, pair) to merge next: the heaviest, of equal ones that of the least ids."""
+    n = max(total.values(), default=0)
+    code = min((c for c, x in total.items() if x == n), default=0)
+    return n, (code >> 32, code & 0xFFFFFFFF)
+
+
+def _add(total: dict[int, int], codes: Iterable[int], change: Iterable[int]) -> None:
+    for c, d in zip(codes, change, strict=True):
+        n = total.get(c, 0) + d
+        if n:
+            total[c] = n
+        else:
+            total.pop(c, None)
+
+
+def _guess(sample: Flat, total: dict[int, int], first: int, most: int) -> list[tuple[int, int]]:
+    """The next merges by the exact weights of now and the changes that the sample lets expect; the first is certain."""
+    (s, w), total, made = sample, dict(total), []
+    while len(made) < most:
+        n, pair = _best(total)
+        if n <= 0:
+            break
+        s, codes, change = _change(s, w, pair, first + len(made))
+        made.append(pair)
+        _add(total, codes.tolist(), change.tolist())
+        total.pop((pair[0] << 32) | pair[1], None)
+    return made
+
+
+def train_spread(pieces: DataFrame, vocab_size: int, min_count: int = 2) -> tuple[dict[str, int], list[Merge]]:
+    """train() where the pieces (piece, n) are too many for the driver: they stay on the executors in packed blocks.
+
+    The driver holds a bounded sample to guess the next merges; executors carry the guess out on all pieces and report
+    how each merge changes the pairs' weights. A guessed merge stands only if it is the best by these exact weights, and
+    the next round guesses on from the last that stands, so a bad guess costs time and nothing else.
+    """
+    names = _byte_ids()[0]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weights = [], []
+        for batch in batches:
+            words += batch["piece"].to_pylist()
+            weights += batch["n"].to_pylist()
+            if len(words) >= BLOCK_PIECES:
+                yield block(*_flat(words, weights))
+                words, weights = [], []
+        if words:
+            yield block(*_flat(words, weights))
+
+    def block(s: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["symbols", "weights"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Flat]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield np.frombuffer(batch["symbols"][row].as_buffer(), np.int32), np.frombuffer(batch["weights"][row].as_buffer(), np.int64)
+
+    def moved(blocks: DataFrame, made: list[tuple[int, int]], first: int) -> DataFrame:
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s, w in read(batches):
+                yield block(_merge_all(s, made, first), w)
+
+        out = scratch.cut(blocks.mapInArrow(move, "symbols binary, weights binary"), "piece-blocks")
+        scratch.forget(blocks)
+        return out
+
+    def changes(blocks: DataFrame, done: list[tuple[int, int]], guessed: list[tuple[int, int]], first: int, whole: bool) -> list[dict[int, int]]:
+        """The changes that each guessed merge brings after those done; with whole, the weights before them first."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s, w in read(batches):
+                s = _merge_all(s, done, first)
+                steps = [(0, *_sums(*_pairs(s, w)))] if whole else []
+                for i, pair in enumerate(guessed):
+                    s, code, n = _change(s, w, pair, first + len(done) + i)
+                    steps.append((i + 1, code, n))
+                step = np.repeat(np.array([i for i, _, _ in steps], np.int32), [len(c) for _, c, _ in steps])
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(np.concatenate([c for _, c, _ in steps])), pa.array(np.concatenate([n for _, _, n in steps]))], ["step", "code", "n"])
+
+        found = blocks.mapInArrow(count, "step int, code long, n long").groupBy("step", "code").agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
+        out: list[dict[int, int]] = [{} for _ in range(len(guessed) + 1)]
+        for i, code, n in zip(found["step"].to_pylist(), found["code"].to_pylist(), found["n"].to_pylist(), strict=True):
+            out[i][code] = n
+        return out
+
+    count = pieces.count()
+    top = pieces.orderBy(F.desc("n"), "piece").limit(GUESS_PIECES // 2).toArrow()
+    every = max(1, 2 * count // GUESS_PIECES)  # one piece of so many stands for the others
+    rest = pieces.where(F.pmod(F.xxhash64("piece"), F.lit(every)) == 0).limit(GUESS_PIECES).toArrow()
+    weight = dict(zip(rest["piece"].to_pylist(), [n * every for n in rest["n"].to_pylist()], strict=True)) | dict(zip(top["piece"].to_pylist(), top["n"].to_pylist(), strict=True))
+    sample = _flat(list(weight), list(weight.values()))
+    blocks = scratch.cut(pieces.select("piece", "n").mapInArrow(pack, "symbols binary, weights binary"), "piece-blocks")
+    total = changes(blocks, [], [], 256, True)[0]
+    known: list[tuple[int, int]] = []
+    base = 0  # merges that the blocks hold already
+    while len(names) + len(known) < vocab_size and _best(total)[0] >= min_count:
+        if len(known) - base >= GUESS_MERGES:
+            blocks, base = moved(blocks, known[base:], 256 + base), len(known)
+        first = 256 + len(known)
+        guessed = _guess(sample, total, first, min(GUESS_MERGES, vocab_size - len(names) - len(known)))
+        found = changes(blocks, known[base:], guessed, 256 + base, False)
+        for pair, change in zip(guessed, found[1:], strict=True):
+            n, best = _best(total)
+            if n < min_count or pair != best:
+                break
+            sample = _merged(sample[0], pair, 256 + len(known), _hits(sample[0], pair)), sample[1]
+            known.append(pair)
+            _add(total, change.keys(), change.values())
+    scratch.forget(blocks)
+    merges: list[Merge] = []
+    for a, b in known:
+        merges.append((names[a], names[b]))
+        names.append(names[a] + names[b])
+    vocab: dict[str, int] = {}
+    for i, name in enumerate(names):
+        vocab.setdefault(name, i)
+    return vocab, merges
+
+
 def train_on(docs: DataFrame, vocab_size: int, text_col: str = "text") -> tuple[dict[str, int], list[Merge]]:
-    """train() on every distinct piece; more than the driver is meant to hold is an error, never a sample."""
-    rows = piece_counts(docs, text_col).limit(MAX_PIECES + 1).toArrow().sort_by([("n", "descending"), ("piece", "ascending")])
-    if len(rows) > MAX_PIECES:
-        raise ValueError(f"more than {MAX_PIECES} distinct pieces")
-    return train(list(zip(rows["piece"].to_pylist(), rows["n"].to_pylist(), strict=True)), vocab_size)
+    """Training on every distinct piece: on the driver up to MAX_PIECES, beyond that on the executors, with equal results."""
+    pieces = scratch.cut(piece_counts(docs, text_col), "pieces")
+    if pieces.count() > MAX_PIECES:
+        made = train_spread(pieces, vocab_size)
+    else:
+        rows = pieces.toArrow().sort_by([("n", "descending"), ("piece", "ascending")])
+        made = train(list(zip(rows["piece"].to_pylist(), rows["n"].to_pylist(), strict=True)), vocab_size)
+    scratch.forget(pieces)
+    return made
 
 
 def encoder(vocab: dict[str, int], merges: list[Merge]):
@@ -117,7 +317,8 @@ def encoder(vocab: dict[str, int], merges: list[Merge]):
         pattern = text.PRETOKEN.removeprefix("(?U)")
         tok.pre_tokenizer = Sequence([Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
         for s in batches:
-            yield pd.Series([e.ids for e in tok.encode_batch(s.fillna("").tolist(), add_special_tokens=False)])
+            texts = s.fillna("").tolist()  # an encoding takes many times its text, so few are held at once
+            yield pd.Series([np.array(e.ids, np.int32) for a in range(0, len(texts), 64) for e in tok.encode_batch(texts[a : a + 64], add_special_tokens=False)])
 
     return encode
 
