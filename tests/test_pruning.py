@@ -117,6 +117,17 @@ def test_training_counts_pieces_that_occur_once(spark):
     assert vocabulary.train_on(docs, 300)[1] == plain_train(pieces, 300)
 
 
+def test_training_on_executors_equals_that_on_the_driver(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("aab cé") for _ in range(rng.randint(1, 9))) for _ in range(50)) + " aaaa aaaaa éé" for _ in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pieces = [(r.piece, r.n) for r in vocabulary.piece_counts(docs).collect()]
+    for name, value in (("MAX_PIECES", 0), ("GUESS_PIECES", 8), ("GUESS_MERGES", 5), ("BLOCK_PIECES", 7)):
+        monkeypatch.setattr(vocabulary, name, value)
+    vocab, merges = vocabulary.train_on(docs, 290)
+    assert merges == plain_train(pieces, 290) and (vocab, merges) == vocabulary.train(pieces, 290)
+
+
 def test_selection_fills_the_budget_in_order():
     merges = [(0, "a", "b"), (1, "ab", "c"), (2, "c", "d"), (3, "cd", "a")]
     found = vocabulary.closures(merges, {"a", "b", "c", "d", "ab", "abc", "cd", "cda"}, {"a", "b", "c", "d"})
