@@ -52,3 +52,9 @@ def bits_per_byte(loss: Column, bytes_per_token: Column) -> Column:
 
 def soft_cap(x: Column, cap: float = 30.0) -> Column:
     return cap * F.tanh(x / cap)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """round() that keeps the sign of a negative value which becomes zero, as C's does."""
+    near = F.round(x, digits)
+    return F.when((near == 0) & (x < 0), F.lit(-0.0)).otherwise(near)

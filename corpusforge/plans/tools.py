@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusforge.functions import arrays, text
+from corpusforge.functions import arrays, numeric, text
 from corpusforge.operators import audit, packing, pruning, stats, vocabulary
 from corpusforge.plans.base import query, table
 from corpusforge.plans.models import REACH, SELECTED, VOCAB, merges, selected, vocab
@@ -193,7 +193,7 @@ def sample_batches(spark, sf_dir):
 @query("SELECT vec_id, [round(embedding[i]::DOUBLE, 5) for i in [1, 4, 2, 2]] AS picked FROM embeddings")
 def array_gather(spark, sf_dir):
     some = F.array(*[F.lit(i) for i in (0, 3, 1, 1)])
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(arrays.gather(F.col("embedding"), some), lambda x: F.round(x.cast("double"), 5)).alias("picked"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(arrays.gather(F.col("embedding"), some), lambda x: numeric.rounded(x.cast("double"), 5)).alias("picked"))
 
 
 @query("SELECT vec_id, k::INT AS copy FROM embeddings, range(4) t(k)")

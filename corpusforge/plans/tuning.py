@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusforge.functions import arrays, text
+from corpusforge.functions import arrays, numeric, text
 from corpusforge.operators import choices, routing, sft, stats
 from corpusforge.plans.base import query, table
 
@@ -276,11 +276,11 @@ def soft_cap(spark, sf_dir):
     from corpusforge.functions.numeric import soft_cap as cap
 
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(cap(total), 5).alias("capped"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", numeric.rounded(cap(total), 5).alias("capped"))
 
 
 @query("SELECT vec_id, round(list_sum([x::DOUBLE for x, i in embedding if i <= len(embedding) // 2]), 4) AS left_sum, round(list_sum([x::DOUBLE for x, i in embedding if i > len(embedding) // 2]), 4) AS right_sum FROM embeddings")
 def array_halves(spark, sf_dir):
     a, b = arrays.halves(F.col("embedding"))
-    total = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double")), 4)
+    total = lambda x: numeric.rounded(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double")), 4)
     return table(spark, sf_dir, "embeddings").select("vec_id", total(a).alias("left_sum"), total(b).alias("right_sum"))

@@ -228,3 +228,16 @@ def test_training_counts_pieces_that_occur_once(spark, monkeypatch):
     monkeypatch.setattr(vocabulary, "MAX_PIECES", 4)
     with pytest.raises(ValueError):
         vocabulary.train_on(docs, 257)
+
+
+def test_rounding_keeps_the_sign_of_zero_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    from corpusforge import plans
+
+    vectors = [(0, [-1e-6, 1.0, 2.0, -4e-6]), (1, [1e-6, -0.5, -0.0, 0.0]), (2, [0.123456, None, 1.0, -2.5])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(repr(tuple(r)) for r in plans.QUERIES["array_gather"](spark, str(tmp_path)).collect())
+    assert got == sorted(repr(r) for r in con.execute(plans.ORACLE["array_gather"]).fetchall()) and "-0.0" in got[0]
