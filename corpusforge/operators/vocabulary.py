@@ -340,10 +340,26 @@ def eligible(token: Column, protected: Column, dropped: Column) -> Column:
     return protected | ~(dropped | text.is_unused(token) | text.is_control(token) | text.has_foreign_script(token))
 
 
+def numbered(rows: DataFrame, name: str, *order: Column | str, start: int = 0) -> DataFrame:
+    """Adds an int column: the row's place in the order, which must leave no ties.
+
+    Rows are dealt to ranges of the order and written once; then places within a range add to the sizes of those before,
+    so that no task sees all rows.
+    """
+    dealt = scratch.cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + inside + (start - 1)).cast("int")).drop("_range", "_before")  # a row a range
+
+
+def with_utility(vocab: DataFrame) -> DataFrame:
+    return vocab.withColumn("utility", F.round(numeric.utility(F.col("n"), text.piece_bytes(F.col("token"))), 6))
+
+
 def ranked(vocab: DataFrame) -> DataFrame:
     """token, id, n -> adds utility and place: by utility, count, then the lesser id."""
-    worth = F.round(numeric.utility(F.col("n"), text.piece_bytes(F.col("token"))), 6)
-    return vocab.withColumn("utility", worth).withColumn("place", F.row_number().over(W.orderBy(F.desc("utility"), F.desc("n"), "id")))
+    return numbered(with_utility(vocab), "place", F.desc("utility"), F.desc("n"), "id", start=1)
 
 
 def violations(merges: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -362,24 +378,28 @@ def kept_merges(merges: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def reachable(atoms: DataFrame, merges: DataFrame) -> DataFrame:
-    """token: what atoms and merges build, whatever the rank; rounds until nothing new is built, each written to the
-    shared folder."""
-    known = scratch.cut(atoms.select("token").distinct(), "reachable")
-    made = scratch.cut(merges.select("left", "right", F.concat("left", "right").alias("token")), "merges")
+    """token: what atoms and merges build, whatever the rank.
+
+    Both parts of a merge are shorter than what it makes, so that what can be built is what remains once merges of parts
+    that nothing makes are gone; rounds until none goes, each written to the shared folder. A merge with an empty part
+    makes nothing new.
+    """
+    known = scratch.cut(atoms.select("token").distinct(), "atoms")
+    made = scratch.cut(merges.where("left <> '' AND right <> ''").select("left", "right", F.concat("left", "right").alias("token")), "merges")
+    n = made.count()
     while True:
-        built = made.join(known.select(F.col("token").alias("left")), "left", "left_semi").join(known.select(F.col("token").alias("right")), "right", "left_semi")
-        new = built.select("token").union(known).distinct()
-        grown = scratch.cut(new, "reachable")
-        if grown.count() == known.count():
-            scratch.forget(known, made)
-            return grown
-        scratch.forget(known)
-        known = grown
+        built = known.union(made.select("token")).distinct()
+        kept = made.join(built.select(F.col("token").alias("left")), "left", "left_semi").join(built.select(F.col("token").alias("right")), "right", "left_semi")
+        kept = scratch.cut(kept.select("left", "right", "token"), "merges")
+        scratch.forget(made)
+        made, was, n = kept, n, kept.count()
+        if n == was:
+            return known.union(made.select("token")).distinct()
 
 
 def remapped(selected: DataFrame) -> DataFrame:
     """token, old_id, class -> new_id: by class, then old id."""
-    return selected.withColumn("new_id", (F.row_number().over(W.orderBy("class", "old_id")) - 1).cast("int"))
+    return numbered(selected, "new_id", "class", "old_id")
 
 
 def closures(merges: list[tuple[int, str, str]], allowed: set[str], atoms: set[str]) -> dict[str, frozenset[str]]:
@@ -418,3 +438,42 @@ def select(order: list[str], closure: dict[str, frozenset[str]], required: set[s
         if len(chosen) == before:
             raise ValueError(f"only {len(chosen)} of {budget} tokens can be chosen")
     return chosen
+
+
+def closures_of(tokens: list[str], vocab: DataFrame, merges: DataFrame) -> dict[str, frozenset[str]]:
+    """closures() of a few tokens: what builds a token is made of its substrings, so merges and vocabulary are read once,
+    for those alone."""
+    parts = {t[i:j] for t in tokens for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    parts = F.broadcast(vocab.sparkSession.createDataFrame([(p,) for p in sorted(parts)], "token string"))  # of a few tokens
+    allowed = {r["token"] for r in vocab.select("token").join(parts, "token", "left_semi").collect()}
+    made = merges.select("rank", "left", "right", F.concat("left", "right").alias("token")).join(parts, "token", "left_semi").collect()
+    return closures([(r["rank"], r["left"], r["right"]) for r in made], allowed, {t for t in allowed if len(t) == 1})
+
+
+def select_spread(vocab: DataFrame, merges: DataFrame, budget: int, chunk: int = 1000) -> tuple[set[str], dict[str, frozenset[str]]]:
+    """select() of single characters and then by utility, and the closures of what is chosen, from tables of any size.
+
+    Tokens come to the driver in their order, a chunk at a time, and until the budget is met; passes repeat as there.
+    """
+    atoms = [r["token"] for r in vocab.where(F.char_length("token") == 1).select("token").distinct().limit(budget + 1).collect()]
+    if len(atoms) > budget:
+        raise ValueError(f"more than {budget} required tokens; the budget is {budget}")
+    found = {t: frozenset((t,)) for t in atoms}
+    chosen = set(atoms)
+    order = with_utility(vocab).select("token", "utility", "n", "id")
+    while len(chosen) < budget:
+        before, last = len(chosen), None
+        while len(chosen) < budget:
+            rest = order if last is None else order.where((F.col("utility") < last["utility"]) | ((F.col("utility") == last["utility"]) & ((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("id") > last["id"])))))
+            rows = rest.orderBy(F.desc("utility"), F.desc("n"), "id").limit(chunk).collect()
+            if not rows:
+                break
+            closure = closures_of([r["token"] for r in rows], vocab, merges)
+            for token in (r["token"] for r in rows):
+                if token in closure and token not in chosen and len(chosen | closure[token]) <= budget:
+                    chosen |= closure[token]
+                    found |= {t: closure[t] for t in closure[token]}
+            last, chunk = rows[-1], min(2 * chunk, 16_000)
+        if len(chosen) == before:
+            raise ValueError(f"only {len(chosen)} of {budget} tokens can be chosen")
+    return chosen, found

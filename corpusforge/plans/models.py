@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions import numeric, text
 from corpusforge.operators import runs, vocabulary
 from corpusforge.plans.base import query, table
+from corpusforge.sources import scratch
 
 # A vocabulary that any engine can build: words of letters (longer runs in pieces of 30) with their prefixes, each made
 # from the one before.
@@ -14,29 +15,39 @@ VOCAB = "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{1,30}')) AS
 
 
 def vocab(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{1,30}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     x = w.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("token"), "n")
-    t = x.groupBy("token").agg(F.sum("n").alias("n"))
-    return t.withColumn("id", (F.row_number().over(W.orderBy(F.length("token"), "token")) - 1).cast("int"))
+    return vocabulary.numbered(x.groupBy("token").agg(F.sum("n").alias("n")), "id", F.length("token"), "token")
 
 
-def merges(spark, sf_dir):
-    from pyspark.sql import Window as W
+def stored(spark, sf_dir):
+    """The vocabulary, written once for queries that use it more than once."""
+    return scratch.cut(vocab(spark, sf_dir), "vocab")
+
 
-    t = vocab(spark, sf_dir).where("length(token) > 1")
-    return t.select(F.expr("left(token, length(token) - 1)").alias("left"), F.expr("right(token, 1)").alias("right"), F.col("token").alias("output"), (F.row_number().over(W.orderBy(F.length("token"), "token")) - 1).cast("long").alias("rank"))
+def merges_of(v):
+    """The merges of a vocabulary, in the order of its ids, which has tokens of one letter first."""
+    letters = v.where("length(token) = 1").agg(F.count(F.lit(1)).alias("letters"))
+    t = v.where("length(token) > 1").crossJoin(F.broadcast(letters))  # one row
+    return t.select(F.expr("left(token, length(token) - 1)").alias("left"), F.expr("right(token, 1)").alias("right"), F.col("token").alias("output"), (F.col("id") - F.col("letters")).cast("long").alias("rank"))
+
+
+def merges(spark, sf_dir):
+    return merges_of(vocab(spark, sf_dir))
 
 
 SELECTED = VOCAB + ", s AS MATERIALIZED (SELECT token, id AS old_id, n, CASE WHEN length(token) = 1 THEN 0 ELSE 1 END AS class FROM v WHERE length(token) = 1 OR n >= 20)"
 
 
-def selected(spark, sf_dir):
-    v = vocab(spark, sf_dir).where("length(token) = 1 OR n >= 20")
+def selected_of(v):
+    v = v.where("length(token) = 1 OR n >= 20")
     return v.select("token", F.col("id").alias("old_id"), "n", F.when(F.length("token") == 1, 0).otherwise(1).alias("class"))
 
 
+def selected(spark, sf_dir):
+    return selected_of(vocab(spark, sf_dir))
+
+
 @query(VOCAB + " SELECT token, id, n FROM v")
 def vocab_counts(spark, sf_dir):
     return vocab(spark, sf_dir).select("token", "id", "n")
@@ -77,8 +88,9 @@ def vocab_utility_rank(spark, sf_dir):
 
 @query(SELECTED + " SELECT count(*) AS selected, sum(n)::BIGINT AS mass, round(sum(n) / (SELECT sum(n) FROM v), 6) AS share FROM s")
 def vocab_mass(spark, sf_dir):
-    total = vocab(spark, sf_dir).agg(F.sum("n").alias("total"))
-    return selected(spark, sf_dir).agg(F.count(F.lit(1)).alias("selected"), F.sum("n").alias("mass")).crossJoin(F.broadcast(total)).select("selected", "mass", F.round(F.col("mass") / F.col("total"), 6).alias("share"))
+    v = stored(spark, sf_dir)
+    total = v.agg(F.sum("n").alias("total"))
+    return selected_of(v).agg(F.count(F.lit(1)).alias("selected"), F.sum("n").alias("mass")).crossJoin(F.broadcast(total)).select("selected", "mass", F.round(F.col("mass") / F.col("total"), 6).alias("share"))
 
 
 @query(SELECTED + " SELECT token, old_id, (row_number() OVER (ORDER BY class, old_id) - 1)::INT AS new_id FROM s")
@@ -88,18 +100,21 @@ def vocab_remap(spark, sf_dir):
 
 @query(SELECTED + ", r AS (SELECT old_id, (row_number() OVER (ORDER BY class, old_id) - 1)::INT AS new_id FROM s) SELECT v.id AS old_id, coalesce(r.new_id, -1) AS new_id FROM v LEFT JOIN r ON r.old_id = v.id")
 def vocab_inverse(spark, sf_dir):
-    new = vocabulary.remapped(selected(spark, sf_dir)).select("old_id", "new_id")
-    return vocab(spark, sf_dir).select(F.col("id").alias("old_id")).join(new, "old_id", "left").select("old_id", F.coalesce("new_id", F.lit(-1)).alias("new_id"))
+    v = stored(spark, sf_dir)
+    new = vocabulary.remapped(selected_of(v)).select("old_id", "new_id")
+    return v.select(F.col("id").alias("old_id")).join(new, "old_id", "left").select("old_id", F.coalesce("new_id", F.lit(-1)).alias("new_id"))
 
 
 @query(SELECTED + ' SELECT rank, "left", "right", output FROM m JOIN s a ON a.token = m."left" JOIN s b ON b.token = m."right" JOIN s c ON c.token = m.output')
 def merge_filter(spark, sf_dir):
-    return vocabulary.kept_merges(merges(spark, sf_dir).select("rank", "left", "right"), selected(spark, sf_dir))
+    v = stored(spark, sf_dir)
+    return vocabulary.kept_merges(merges_of(v).select("rank", "left", "right"), selected_of(v))
 
 
 @query(SELECTED + ', k AS (SELECT rank, "left", "right", "left" IN (SELECT token FROM s) AS has_left, "right" IN (SELECT token FROM s) AS has_right, output IN (SELECT token FROM s) AS has_output FROM m) SELECT * FROM k WHERE NOT (has_left AND has_right AND has_output)')
 def merge_violations(spark, sf_dir):
-    return vocabulary.violations(merges(spark, sf_dir).select("rank", "left", "right"), selected(spark, sf_dir))
+    v = stored(spark, sf_dir)
+    return vocabulary.violations(merges_of(v).select("rank", "left", "right"), selected_of(v))
 
 
 # Every prefix of a selected token is selected too, so what can't be built holds a letter that isn't.
@@ -108,15 +123,17 @@ REACH = SELECTED + ", lost AS (SELECT DISTINCT token FROM (SELECT token, unnest(
 
 @query(REACH + " SELECT token FROM s WHERE token NOT IN (SELECT token FROM lost)")
 def vocab_reach(spark, sf_dir):
-    s = selected(spark, sf_dir)
-    kept = vocabulary.kept_merges(merges(spark, sf_dir).select("rank", "left", "right"), s)
+    v = stored(spark, sf_dir)
+    s = selected_of(v)
+    kept = vocabulary.kept_merges(merges_of(v).select("rank", "left", "right"), s)
     return vocabulary.reachable(s.where("length(token) = 1"), kept)
 
 
 @query(REACH + " SELECT token FROM lost")
 def vocab_unreachable(spark, sf_dir):
-    s = selected(spark, sf_dir)
-    kept = vocabulary.kept_merges(merges(spark, sf_dir).select("rank", "left", "right"), s)
+    v = stored(spark, sf_dir)
+    s = selected_of(v)
+    kept = vocabulary.kept_merges(merges_of(v).select("rank", "left", "right"), s)
     return s.select("token").join(vocabulary.reachable(s.where("length(token) = 1"), kept), "token", "left_anti")
 
 
@@ -138,7 +155,8 @@ def mapped_sequence(spark, sf_dir):
 
 @query(SELECTED + " SELECT (SELECT count(*) FROM (SELECT token FROM v EXCEPT SELECT token FROM s)) AS dropped, (SELECT count(*) FROM (SELECT token FROM s EXCEPT SELECT token FROM v)) AS strange, (SELECT count(*) FROM (SELECT token FROM s GROUP BY token HAVING count(*) > 1)) AS doubled")
 def vocab_set_checks(spark, sf_dir):
-    v, s = vocab(spark, sf_dir).select("token"), selected(spark, sf_dir).select("token")
+    every = stored(spark, sf_dir)
+    v, s = every.select("token"), selected_of(every).select("token")
     parts = [v.exceptAll(s).distinct().agg(F.count(F.lit(1)).alias("dropped")), s.exceptAll(v).distinct().agg(F.count(F.lit(1)).alias("strange")), s.groupBy("token").count().where("count > 1").agg(F.count(F.lit(1)).alias("doubled"))]
     return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
 
@@ -184,12 +202,9 @@ def bpe_roundtrip(spark, sf_dir):
 
 @query()
 def vocab_select(spark, sf_dir):
-    """Greedy selection of 200 tokens with their closures; both lists are those of one model file."""
-    rows = vocabulary.ranked(vocab(spark, sf_dir)).orderBy("place").collect()
-    made = [(r["rank"], r["left"], r["right"]) for r in merges(spark, sf_dir).collect()]
-    order = [r["token"] for r in rows]
-    found = vocabulary.closures(made, set(order), {t for t in order if len(t) == 1})
-    chosen = vocabulary.select(order, found, {t for t in order if len(t) == 1}, 200)
+    """Greedy selection of 200 tokens with their closures; the vocabulary stays on the executors."""
+    v = stored(spark, sf_dir)
+    chosen, found = vocabulary.select_spread(v, merges_of(v), 200)
     return spark.createDataFrame([(t, len(found[t])) for t in sorted(chosen)], "token string, closure_size int")
 
 

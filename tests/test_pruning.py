@@ -145,3 +145,35 @@ def test_pretokens_join_to_the_text(spark):
 
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.pretokens(F.col("t")).alias("p")).collect()
     assert all("".join(r.p) == r.t for r in rows)
+
+
+def test_selection_from_tables_equals_that_from_lists(spark):
+    rng = random.Random(5)
+    letters = list("abcde")
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(40)}
+    tokens = sorted({w[:k] for w in words for k in range(1, len(w) + 1)} | set(letters), key=lambda t: (len(t), t))
+    vocab = spark.createDataFrame([(t, i, rng.randint(1, 30)) for i, t in enumerate(tokens)], "token string, id int, n long")
+    made = [(i, t[:-1], t[-1]) for i, t in enumerate(x for x in tokens if len(x) > 1)]
+    merges = spark.createDataFrame(made, "rank int, left string, right string")
+    order = [r["token"] for r in vocabulary.ranked(vocab).orderBy("place").collect()]
+    closure = vocabulary.closures(made, set(tokens), set(letters))
+    for budget in (20, 41, len(tokens)):
+        chosen, found = vocabulary.select_spread(vocab, merges, budget, chunk=4)
+        assert chosen == vocabulary.select(order, closure, set(letters), budget)
+        assert all(found[t] == closure[t] for t in chosen)
+    with pytest.raises(ValueError, match="can be chosen"):
+        vocabulary.select_spread(vocab, merges, len(tokens) + 1, chunk=400)
+
+
+def test_numbers_need_no_task_that_sees_all_rows(spark):
+    rows = spark.range(1000).selectExpr("concat('t', pmod(id * 7919, 1000)) AS token", "int(id) AS old_id", "int(id % 3) AS class").repartition(5)
+    got = vocabulary.remapped(rows)
+    assert "SinglePartition" not in got.select("token", "new_id")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    want = {r.token: i for i, r in enumerate(sorted(rows.collect(), key=lambda r: (r["class"], r.old_id)))}
+    assert {r.token: r.new_id for r in got.collect()} == want
+
+
+def test_what_is_built_of_lost_parts_is_not_reachable(spark):
+    atoms = spark.createDataFrame([("a",), ("b",)], "token string")
+    merges = spark.createDataFrame([("a", "b"), ("ab", "c"), ("abc", "a"), ("abca", "b"), ("ab", "a"), ("", "zz")], "left string, right string")
+    assert {r.token for r in vocabulary.reachable(atoms, merges).collect()} == {"a", "b", "ab", "aba"}
