@@ -9,7 +9,6 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text
@@ -47,7 +46,7 @@ def renumbered(chosen: DataFrame, vocab: DataFrame, leading: DataFrame, custom:
     own = custom.join(vocab.select("token", F.lit(True).alias("known")), "token", "left").select(F.when(F.col("known"), clash).otherwise(F.col("token")).alias("token"), F.lit(CUSTOM).alias("class"), F.col("place").cast("long").alias("at"))
     rest = chosen.select("token").distinct().join(leading.select("token"), "token", "left_anti").join(vocab.select("token", F.col("id").cast("long").alias("at")), "token").select("token", F.lit(NATIVE).alias("class"), "at")
     every = first.unionByName(own).unionByName(rest)
-    placed = every.withColumn("new_id", (F.row_number().over(W.orderBy("class", "at")) - 1).cast("int"))
+    placed = vocabulary.numbered(every, "new_id", "class", "at")
     return placed.join(vocab.select("token", F.col("id").alias("old_id")), "token", "left").select("token", "new_id", "old_id")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusforge.functions import arrays, numeric, text
 from corpusforge.operators import audit, packing, pruning, stats, vocabulary
 from corpusforge.plans.base import query, table
-from corpusforge.plans.models import REACH, SELECTED, VOCAB, merges, selected, vocab
+from corpusforge.plans.models import REACH, SELECTED, VOCAB, merges_of, selected_of, stored, vocab
+from corpusforge.sources import scratch
 from corpusforge.plans.packing import FACTS, SHARDS, facts
 
 SPECIALS = ("<pad>", "<eos>", "<bos>", "<unk>")
@@ -17,9 +18,9 @@ KEYWORDS = ("the", "and", "of", "license", "return", "import", "zzzz")
 VALUES = lambda tokens: "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(tokens)) + ") x(place, token))"
 
 
-def with_specials(spark, sf_dir):
+def with_specials(spark, v):
     """The vocabulary with the leading specials as if it had always had them: ids follow the others."""
-    v = vocab(spark, sf_dir).select("token", "id", "n")
+    v = v.select("token", "id", "n")
     n = v.agg(F.count(F.lit(1)).cast("int").alias("size"))
     extra = pruning.token_list(spark, SPECIALS).crossJoin(F.broadcast(n)).select("token", (F.col("size") + F.col("place")).alias("id"), F.lit(0).cast("long").alias("n"))
     return v.unionByName(extra)
@@ -29,29 +30,31 @@ def with_specials(spark, sf_dir):
 PRUNED = SELECTED + f", sp AS {VALUES(SPECIALS)}, cu AS {VALUES(CUSTOM)}, ws AS MATERIALIZED (SELECT token, id, n FROM v UNION ALL SELECT token, ((SELECT count(*) FROM v) + place)::INT, 0 FROM sp), o AS (SELECT token, 0 AS class, place::BIGINT AS pl FROM sp UNION ALL SELECT token, 1, place FROM cu UNION ALL SELECT token, 2, old_id FROM s), r AS MATERIALIZED (SELECT o.token, (row_number() OVER (ORDER BY class, pl) - 1)::INT AS new_id, ws.id AS old_id FROM o LEFT JOIN ws ON ws.token = o.token)"
 
 
-def pruned(spark, sf_dir):
-    return pruning.renumbered(selected(spark, sf_dir).select("token"), with_specials(spark, sf_dir), pruning.token_list(spark, SPECIALS), pruning.token_list(spark, CUSTOM))
+def pruned(spark, v):
+    return pruning.renumbered(selected_of(v).select("token"), with_specials(spark, v), pruning.token_list(spark, SPECIALS), pruning.token_list(spark, CUSTOM))
 
 
 @query(PRUNED + " SELECT token, new_id, old_id FROM r")
 def tokenizer_rewrite(spark, sf_dir):
-    return pruned(spark, sf_dir)
+    return pruned(spark, stored(spark, sf_dir))
 
 
 @query(PRUNED + " SELECT ws.id AS old_id, coalesce(r.new_id, -1) AS new_id FROM ws LEFT JOIN r ON r.old_id = ws.id")
 def tokenizer_inverse(spark, sf_dir):
-    return pruning.inverse(pruned(spark, sf_dir), with_specials(spark, sf_dir))
+    v = stored(spark, sf_dir)
+    return pruning.inverse(pruned(spark, v), with_specials(spark, v))
 
 
 @query(PRUNED + " SELECT r.new_id, r.token, ws.token AS old_token FROM r JOIN ws ON ws.id = r.old_id WHERE r.token <> ws.token")
 def mapping_audit(spark, sf_dir):
-    return pruning.mapping_errors(pruned(spark, sf_dir), with_specials(spark, sf_dir))
+    v = stored(spark, sf_dir)
+    return pruning.mapping_errors(pruned(spark, v), with_specials(spark, v))
 
 
 @query(PRUNED + " SELECT r.new_id, r.token, r.old_id AS teacher_id FROM r WHERE r.new_id < 64")
 def vocab_teacher(spark, sf_dir):
     """The first 64 ids of the pruned vocabulary and the old ids that they stand for, null for custom specials."""
-    return pruned(spark, sf_dir).where("new_id < 64").select("new_id", "token", F.col("old_id").alias("teacher_id"))
+    return pruned(spark, stored(spark, sf_dir)).where("new_id < 64").select("new_id", "token", F.col("old_id").alias("teacher_id"))
 
 
 @query(VOCAB + f" SELECT token FROM {VALUES(KEYWORDS)} k WHERE token NOT IN (SELECT token FROM v)")
@@ -61,8 +64,9 @@ def vocab_missing(spark, sf_dir):
 
 @query(PRUNED + f" SELECT token FROM v WHERE length(token) = 1 UNION SELECT token FROM sp UNION SELECT token FROM {VALUES(KEYWORDS)} k WHERE token IN (SELECT token FROM v)")
 def vocab_protected(spark, sf_dir):
-    known = pruning.token_list(spark, KEYWORDS).join(vocab(spark, sf_dir).select("token"), "token", "left_semi")
-    return pruning.protected(with_specials(spark, sf_dir), pruning.token_list(spark, SPECIALS), known)
+    v = stored(spark, sf_dir)
+    known = pruning.token_list(spark, KEYWORDS).join(v.select("token"), "token", "left_semi")
+    return pruning.protected(with_specials(spark, v), pruning.token_list(spark, SPECIALS), known)
 
 
 #: All prefixes of a selected token are selected, and letters always are; what can't be built holds a strange letter.
@@ -76,16 +80,19 @@ CHECKED = PRUNED + ", le AS (SELECT DISTINCT c FROM (SELECT unnest(string_split(
     "(SELECT count(*) FROM r JOIN ws ON ws.id = r.old_id WHERE r.token <> ws.token) = 0, (SELECT count(*) FROM r JOIN sp USING (token) WHERE new_id <> place) = 0, (SELECT count(*) FROM le WHERE c NOT IN (SELECT token FROM s WHERE length(token) = 1)) = 0]) AS ok"
 )
 def tokenizer_checks(spark, sf_dir):
-    s = selected(spark, sf_dir)
-    atoms = vocab(spark, sf_dir).where("length(token) = 1").select("token")
-    kept = vocabulary.kept_merges(merges(spark, sf_dir).select("rank", "left", "right"), s)
-    return pruning.checks(pruned(spark, sf_dir), kept, with_specials(spark, sf_dir), atoms, pruning.token_list(spark, SPECIALS), s.count() + len(SPECIALS) + len(CUSTOM))
+    v = stored(spark, sf_dir)
+    s = selected_of(v)
+    atoms = v.where("length(token) = 1").select("token")
+    kept = scratch.cut(vocabulary.kept_merges(merges_of(v).select("rank", "left", "right"), s), "kept-merges")
+    renamed = scratch.cut(pruned(spark, v), "renamed")
+    return pruning.checks(renamed, kept, with_specials(spark, v), atoms, pruning.token_list(spark, SPECIALS), s.count() + len(SPECIALS) + len(CUSTOM))
 
 
 @query(PRUNED + " SELECT (SELECT count(*) FROM ws) AS before, (SELECT count(*) FROM r) AS after, (SELECT count(*) FROM m JOIN s a ON a.token = m.\"left\" JOIN s b ON b.token = m.\"right\" JOIN s c ON c.token = m.output) AS merges, (SELECT count(*) FROM ws ANTI JOIN r ON r.old_id = ws.id) AS dropped")
 def vocab_prune(spark, sf_dir):
-    r, w = pruned(spark, sf_dir), with_specials(spark, sf_dir)
-    kept = vocabulary.kept_merges(merges(spark, sf_dir).select("rank", "left", "right"), selected(spark, sf_dir))
+    v = stored(spark, sf_dir)
+    r, w = pruned(spark, v), with_specials(spark, v)
+    kept = vocabulary.kept_merges(merges_of(v).select("rank", "left", "right"), selected_of(v))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return n(w, "before").crossJoin(n(r, "after")).crossJoin(n(kept, "merges")).crossJoin(n(pruning.inverse(r, w).where("new_id < 0"), "dropped"))  # one row each
 
@@ -93,9 +100,10 @@ def vocab_prune(spark, sf_dir):
 @query(REACH + " SELECT token, (length(token) - 1 + len(list_distinct(string_split(token, ''))))::INT AS closure_size FROM s WHERE length(token) > 1 AND token NOT IN (SELECT token FROM lost)")
 def vocab_closure(spark, sf_dir):
     """How many tokens each one that can be built needs with itself: its prefixes and its letters; merges are one model's list."""
-    s = selected(spark, sf_dir)
+    v = stored(spark, sf_dir)
+    s = selected_of(v)
     rows = s.select("token").collect()
-    made = vocabulary.kept_merges(merges(spark, sf_dir).select("rank", "left", "right"), s).collect()
+    made = vocabulary.kept_merges(merges_of(v).select("rank", "left", "right"), s).collect()
     tokens = {r["token"] for r in rows}
     found = vocabulary.closures([(r["rank"], r["left"], r["right"]) for r in made], tokens, {t for t in tokens if len(t) == 1})
     return spark.createDataFrame([(t, len(x)) for t, x in found.items() if len(t) > 1], "token string, closure_size int")
