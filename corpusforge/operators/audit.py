@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.operators import packing
+from corpusforge.operators import packing, vocabulary
 
 
 def block_facts(packed: DataFrame) -> DataFrame:
@@ -50,5 +50,6 @@ def mismatches(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def dense_ids(vocab: DataFrame) -> DataFrame:
-    """One row: whether ids are exactly 0..n-1."""
-    return vocab.agg(F.count("id").alias("n_ids"), F.count_distinct("id").alias("n_distinct"), F.max("id").cast("long").alias("max_id")).withColumn("dense", (F.col("n_ids") == F.col("n_distinct")) & (F.col("n_ids") == F.col("max_id") + 1))
+    """One row: whether ids are exactly 0..n-1. Ids are dealt to so many tasks that none holds more than a range of them."""
+    ids = vocab.select("id")
+    return ids.repartition(vocabulary.ranges(ids), "id").agg(F.count("id").alias("n_ids"), F.count_distinct("id").alias("n_distinct"), F.max("id").cast("long").alias("max_id")).withColumn("dense", (F.col("n_ids") == F.col("n_distinct")) & (F.col("n_ids") == F.col("max_id") + 1))

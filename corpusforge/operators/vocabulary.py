@@ -24,6 +24,8 @@ Merge = tuple[str, str]
 Flat = tuple[np.ndarray, np.ndarray]
 #: Pieces that the driver trains on by itself, pieces it guesses from, merges it guesses at once, pieces of a block.
 MAX_PIECES, GUESS_PIECES, GUESS_MERGES, BLOCK_PIECES = 200_000, 100_000, 64, 100_000
+#: Rows that a task numbers, or words whose prefixes it counts.
+RANGE_ROWS = 500_000
 
 
 def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -340,17 +342,24 @@ def eligible(token: Column, protected: Column, dropped: Column) -> Column:
     return protected | ~(dropped | text.is_unused(token) | text.is_control(token) | text.has_foreign_script(token))
 
 
+def ranges(stored: DataFrame) -> int:
+    """How many ranges a stored table is dealt to, so that none, which one task sorts or counts, grows with the table."""
+    return max(stored.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // RANGE_ROWS))
+
+
 def numbered(rows: DataFrame, name: str, *order: Column | str, start: int = 0) -> DataFrame:
     """Adds an int column: the row's place in the order, which must leave no ties.
 
-    Rows are dealt to ranges of the order and written once; then places within a range add to the sizes of those before,
-    so that no task sees all rows.
+    Rows are written, dealt to ranges of the order and written again in order, each with its place within its range;
+    these places add to the sizes of the ranges before, so that no task sees more than a range.
     """
-    dealt = scratch.cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    stored = scratch.cut(rows, "rows")
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # its high bits are the partition's
+    dealt = scratch.cut(stored.repartitionByRange(ranges(stored), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_within", within), "ranges")
+    scratch.forget(stored)
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select("_range", F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return dealt.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + inside + (start - 1)).cast("int")).drop("_range", "_before")  # a row a range
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_within") + start).cast("int")).drop("_range", "_before", "_within")  # a row a range
 
 
 def with_utility(vocab: DataFrame) -> DataFrame:

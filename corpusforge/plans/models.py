@@ -16,7 +16,9 @@ VOCAB = "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{1,30}')) AS
 
 def vocab(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{1,30}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    x = w.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("token"), "n")
+    w = scratch.cut(w, "words")
+    near = w.repartitionByRange(vocabulary.ranges(w), "w")  # words that share prefixes meet, and no task gets all of them
+    x = near.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("token"), "n")
     return vocabulary.numbered(x.groupBy("token").agg(F.sum("n").alias("n")), "id", F.length("token"), "token")
 
 

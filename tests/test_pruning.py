@@ -177,3 +177,25 @@ def test_what_is_built_of_lost_parts_is_not_reachable(spark):
     atoms = spark.createDataFrame([("a",), ("b",)], "token string")
     merges = spark.createDataFrame([("a", "b"), ("ab", "c"), ("abc", "a"), ("abca", "b"), ("ab", "a"), ("", "zz")], "left string, right string")
     assert {r.token for r in vocabulary.reachable(atoms, merges).collect()} == {"a", "b", "ab", "aba"}
+
+
+def test_tasks_of_the_numbering_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "RANGE_ROWS", 50, raising=False)
+    stored, cut = {}, vocabulary.scratch.cut
+    monkeypatch.setattr(vocabulary.scratch, "cut", lambda df, name="cut": stored.setdefault(name, cut(df, name)))
+    rows = spark.range(1000).selectExpr("concat('t', pmod(id * 7919, 1000)) AS token", "int(id) AS n").repartition(3)
+    got = vocabulary.numbered(rows, "id", F.length("token"), "token")
+    assert [r.id for r in got.orderBy(F.length("token"), "token").collect()] == list(range(1000))
+    sizes = [r["count"] for r in stored["ranges"].groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 150
+
+
+def test_dense_ids_counts_in_ranges(spark, monkeypatch):
+    from corpusforge.operators import audit
+
+    monkeypatch.setattr(vocabulary, "RANGE_ROWS", 50, raising=False)
+    got = audit.dense_ids(spark.range(1000).selectExpr("int(id) AS id"))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert tuple(got.first()) == (1000, 1000, 999, True)
+    for ids, want in (([0, 1, 1, None], (3, 2, 1, False)), ([0, 2], (2, 2, 2, False)), ([], (0, 0, None, None))):
+        assert tuple(audit.dense_ids(spark.createDataFrame([(i,) for i in ids], "id int")).first()) == want
