@@ -128,6 +128,16 @@ def test_training_on_executors_equals_that_on_the_driver(spark, monkeypatch):
     assert merges == plain_train(pieces, 290) and (vocab, merges) == vocabulary.train(pieces, 290)
 
 
+def test_roundtrip_with_more_pieces_than_the_driver_trains_on(spark, monkeypatch, tmp_path):
+    from corpusforge import plans
+
+    texts = ["xqa xqb\n\n xqc", "Über naïve λ = 3.5", "", None, "don't  stop\t12345 \U0001f600", "xqa " * 300]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(vocabulary, "MAX_PIECES", 4)
+    got = {r.doc_id: r.same for r in plans.QUERIES["bpe_roundtrip"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else True for i, t in enumerate(texts)}
+
+
 def test_selection_fills_the_budget_in_order():
     merges = [(0, "a", "b"), (1, "ab", "c"), (2, "c", "d"), (3, "cd", "a")]
     found = vocabulary.closures(merges, {"a", "b", "c", "d", "ab", "abc", "cd", "cda"}, {"a", "b", "c", "d"})
