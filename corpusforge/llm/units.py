@@ -29,6 +29,7 @@ from corpusforge.llm import scratch
 UNIT_BYTES = 4 << 20
 BUCKET_ITEMS = 300_000
 UNIT_SCHEMA = "unit long, ids array<long>, sizes binary, total long, body binary"
+BUCKET_BYTES = 32 << 20
 MAX_BUCKETS = 100_000  # Spark's own default bound for bucketed tables
 #: Parquet looks at a group's size only after 100 rows, and a reader's batch holds up to a whole group; rows are megabytes.
 SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.max": "1"}
@@ -143,8 +144,10 @@ def stored(docs: DataFrame, id_col: str, text_col: str, name: str, unit_bytes: i
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     size = sum(x for x in sizes if x < 1 << 60)  # beyond that Spark says that it doesn't know
     # Fewer buckets than shuffle partitions, and Spark would rather move the bodies.
-    # A bucket is what a task holds at once, in the JVM and again in Python; text may take twice its bytes in the file.
-    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * size / (32 << 20))))
+    # A bucket is what a task holds at once, in the JVM and again in Python. Text is counted too: equal texts take next to
+    # nothing in a file, and of some sources Spark doesn't know the size.
+    text = docs.select(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(max(2 * size, text) / BUCKET_BYTES)))
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{scratch.shared_dir(spark)}/{table}"
     pack(docs, id_col, text_col, unit_bytes, buckets).write.options(path=path, compression="zstd", **SMALL_GROUPS).bucketBy(buckets, "unit").saveAsTable(table)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from corpus import SCHEMA, WORD, docs, none, prose, rows
+from pyspark.sql import functions as F
 
 from corpusforge.llm import bytescan as bs
 from corpusforge.llm import decontamination, language_id, licenses, lines, mixing, neardup, quality_classifier, quality_rules, substrings, suffixes, units
@@ -568,3 +569,12 @@ def test_benchmark_in_parts_gives_a_row_a_row(spark, monkeypatch):
     parts = decontamination.contamination(frame, bench).collect()
     assert sorted(map(str, parts)) == whole and len(parts) == 6
     assert sorted((r.doc_id or -1, r.n_items, r.item_id) for r in parts if r.contaminated) == [(-1, 1, 5), (1, 1, 0), (1, 1, 0), (2, 2, 1)]
+
+
+def test_buckets_follow_the_text_and_not_its_bytes_in_the_file(spark, monkeypatch, tmp_path):
+    data = [(i, "the same words " * 700) for i in range(60)]  # 630,000 bytes that a file holds as one text
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(units, "BUCKET_BYTES", 40_000, raising=False)
+    stored = units.stored(spark.read.parquet(str(tmp_path / "d")), "doc_id", "text", "equal_units", 20_000)
+    held = stored.groupBy(F.input_file_name().alias("file")).agg(F.sum("total").alias("n")).collect()
+    assert sum(r.n for r in held) == 60 * 15 * 700 and len(held) >= 15 and max(r.n for r in held) <= 80_000
